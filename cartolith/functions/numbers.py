@@ -22,8 +22,16 @@ from cartolith.functions._c import c
 
 
 def _rounded(value) -> Column:
-    text = c(value).cast("double").cast("string")
-    return F.bround(text.try_cast("decimal(38,18)"), 6)
+    """Half-even rounding of the shortest decimal text of a coordinate.
+
+    The JVM may print a double with more digits than it needs, which would hide a tie. A
+    tie has seven decimals, and no other decimal that short stands for the same double, so
+    the seven-place value is taken wherever it is the number itself.
+    """
+    v = c(value).cast("double")
+    printed = v.cast("string").try_cast("decimal(38,18)")
+    short = F.bround(printed, 7)
+    return F.bround(F.when(short.cast("double") == v, short).otherwise(printed), 6)
 
 
 def quantised(value) -> Column:

@@ -255,9 +255,9 @@ def _(v):
 
 
 @query("k05_item_result", """
-SELECT status, sha256, bytes, updated_at FROM v_items WHERE region = 'vienna' AND kind = 'dem' AND z = 13 AND x = 1616 AND y = 5979""", "v_items")
+SELECT status, sha256, bytes, updated_at FROM v_items WHERE region = 'europe' AND kind = 'dem' AND z = 13 AND x = 1616 AND y = 5979""", "v_items")
 def _(v):
-    return corpus.item_result(v.v_items, "vienna", "dem", 13, 1616, 5979)
+    return corpus.item_result(v.v_items, "europe", "dem", 13, 1616, 5979)
 
 
 _DUE = "status IN ('pending', 'failed') AND attempts < 4"

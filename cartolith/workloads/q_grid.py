@@ -204,7 +204,7 @@ def _(v):
 
 
 @query("b17_canonical_coordinate", """
-WITH d AS (SELECT id, CAST(CAST((west + (id % 64) / 128e0) / (1 + id % 3) AS VARCHAR) AS DECIMAL(26, 16)) * 1000000 AS m FROM v_boxes),
+WITH d AS (SELECT id, CAST(CAST((west + (id % 64) / 128e0) / (1 + id % 3) AS VARCHAR) AS DECIMAL(30, 20)) * 1000000 AS m FROM v_boxes),
 f AS (SELECT id, m, CAST(floor(m) AS BIGINT) AS lo FROM d),
 k AS (SELECT id, lo + CASE WHEN m - lo > 0.5 OR (m - lo = 0.5 AND lo % 2 <> 0) THEN 1 ELSE 0 END AS micro FROM f)
 SELECT id, CASE WHEN micro = 0 THEN '0' ELSE rtrim(rtrim(concat(CASE WHEN micro < 0 THEN '-' ELSE '' END, CAST(abs(micro) // 1000000 AS VARCHAR), '.',
@@ -400,9 +400,9 @@ def _(v):
     return hits.groupBy("view_id").agg(F.count("*").alias("n"))
 
 
-@query("c05_tile_lookup", "SELECT event_id, lon, lat FROM v_tiles WHERE z = 10 AND x = 440 AND y = 410", "v_tiles")
+@query("c05_tile_lookup", "SELECT event_id, lon, lat FROM v_tiles WHERE z = 10 AND x = 440 AND y = 409", "v_tiles")
 def _(v):
-    return v.v_tiles.where("z = 10 AND x = 440 AND y = 410").select("event_id", "lon", "lat")
+    return v.v_tiles.where("z = 10 AND x = 440 AND y = 409").select("event_id", "lon", "lat")
 
 
 _PAIRS = """SELECT w.view_id, b.id, b.uploaded_at, b.sha256 FROM v_views w JOIN v_boxes b
