@@ -169,8 +169,8 @@ def _(v):
 
 @query("d07_nearest_sample", """
 WITH pts AS (SELECT event_id, event_id % 100 AS source, (value * 7 % 700) - 350e0 AS x_m, (value * 3 % 700) - 350e0 AS z_m FROM v_points),
-at AS (SELECT *, CAST(least(7, greatest(0, floor((x_m + 350e0) / 100e0 + 0.5e0))) AS BIGINT) AS c, CAST(least(7, greatest(0, floor((z_m + 350e0) / 100e0 + 0.5e0))) AS BIGINT) AS r FROM pts)
-SELECT event_id, r AS row_no, c AS col_no, round(h, 6) AS ground_m FROM at LEFT JOIN v_grid g ON g.source = at.source AND g.row_no = r AND g.col_no = c""", "v_points v_grid")
+pl AS (SELECT *, CAST(least(7, greatest(0, floor((x_m + 350e0) / 100e0 + 0.5e0))) AS BIGINT) AS c, CAST(least(7, greatest(0, floor((z_m + 350e0) / 100e0 + 0.5e0))) AS BIGINT) AS r FROM pts)
+SELECT event_id, r AS row_no, c AS col_no, round(h, 6) AS ground_m FROM pl LEFT JOIN v_grid g ON g.source = pl.source AND g.row_no = r AND g.col_no = c""", "v_points v_grid")
 def _(v):
     pts = v.v_points.select(
         "event_id", (F.col("event_id") % 100).alias("source"), (F.col("value") * 7 % 700 - 350.0).alias("x_m"),
