@@ -61,3 +61,22 @@ def values(rows) -> str:
         return str(v)
 
     return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+
+
+def canon(source: str, key: str, cols: list[str]) -> str:
+    """CTEs giving ``<col>_t``: six places half-even, positional text of each column."""
+    dec = ", ".join(f"CAST(CAST({c} AS VARCHAR) AS DECIMAL(30, 20)) * 1000000 AS {c}_m" for c in cols)
+    lo = ", ".join(f"{c}_m, CAST(floor({c}_m) AS BIGINT) AS {c}_lo" for c in cols)
+    micro = ", ".join(
+        f"{c}_lo + CASE WHEN {c}_m - {c}_lo > 0.5 OR ({c}_m - {c}_lo = 0.5 AND {c}_lo % 2 <> 0) THEN 1 ELSE 0 END AS {c}_k"
+        for c in cols
+    )
+    text = ", ".join(
+        f"CASE WHEN {c}_k = 0 THEN '0' ELSE rtrim(rtrim(concat(CASE WHEN {c}_k < 0 THEN '-' ELSE '' END, "
+        f"CAST(abs({c}_k) // 1000000 AS VARCHAR), '.', lpad(CAST(abs({c}_k) % 1000000 AS VARCHAR), 6, '0')), '0'), '.') END AS {c}_t"
+        for c in cols
+    )
+    return (
+        f"cn1 AS (SELECT {key}, {dec} FROM {source}), cn2 AS (SELECT {key}, {lo} FROM cn1), "
+        f"cn3 AS (SELECT {key}, {micro} FROM cn2), canon AS (SELECT {key}, {text} FROM cn3)"
+    )
