@@ -177,7 +177,7 @@ def _(v):
     )
 
 
-def _tagged(v):
+def _tagged(v, *extra):
     """Signed-looking feed rows: honest ids, except that errors carry a foreign one."""
     tag = events.tag
     pos = F.format_string("%.6f,%.6f", "lon", "lat")
@@ -185,7 +185,7 @@ def _tagged(v):
     tags = F.array(
         tag("name", F.when(F.col("slot") > 0, F.col("name")).otherwise("")), tag("x", F.col("id")), tag("bbox", pos),
         tag("title", F.col("content")), tag("start", F.col("created_at").cast("string")),
-        *[tag("g", F.substring(deepest, 1, p)) for p in (3, 6, 4)],
+        *[tag("g", F.substring(deepest, 1, p)) for p in (3, 6, 4)], *extra,
     )
     rows = v.v_feed.withColumn("tags", tags).withColumn("sig", F.lit("ab"))
     true_id = events.event_id("pubkey", "created_at", "kind", "tags", "content")
