@@ -54,3 +54,12 @@ def lookup(mapping: dict[str, object], key: Column) -> Column:
     """Value of a fixed dictionary, null for an unknown or null key."""
     pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it.
+
+    Keeps expressions small: a plain Column is repeated in the plan at every use, and a
+    filter pushed below a projection repeats it again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

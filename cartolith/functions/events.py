@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith import constants as K
@@ -138,10 +138,12 @@ def collection_event(dataset, title, box, mime, licence, source, server, created
     return F.struct(code.alias("code"), F.when(code.isNull(), event).alias("event"))
 
 
-def item_event(dataset, pubkey, z, x, y, sha256, url, mime, size, datetime, created_at, properties=None):
-    """Item event row; the box and the cell are derived from the tile.
+def with_item_event(df: DataFrame, name: str, dataset, pubkey, z, x, y, sha256, url, mime, size, datetime,
+                    created_at, properties=None) -> DataFrame:
+    """Adds the item event of each row as struct (code, event) under ``name``.
 
-    ``properties`` is JSON text; without it the bag is empty and no Python worker runs.
+    The box and the cell are derived from the tile. ``properties`` is JSON text; without it
+    the bag is empty and no Python worker runs.
     """
     code = F.coalesce(
         grammar.created_at_code(created_at), grammar.dataset_code(dataset),
@@ -151,44 +153,46 @@ def item_event(dataset, pubkey, z, x, y, sha256, url, mime, size, datetime, crea
     )
     bag = F.lit("{}")
     if properties is not None:
-        checked = numbers.properties(c(properties))
-        code = F.coalesce(code, checked["code"])
-        bag = checked["text"]
-    box = tiles.tile_box(z, x, y)
+        df = df.withColumn("_bag", numbers.properties(c(properties)))
+        code, bag = F.coalesce(code, F.col("_bag.code")), F.col("_bag.text")
     mid = tiles.tile_centre(z, x, y)
-    corner = [numbers.canonical_coordinate(box[n]) for n in boxes.EDGES]
+    df = df.withColumns({
+        "_code": code, "_box": tiles.tile_box(z, x, y),
+        "_cell": geohash.encode(mid["lat"], mid["lon"], K.EVENT_PRECISION), "_key": tiles.tile_key(z, x, y),
+    })
+    corner = [numbers.canonical_coordinate(F.col(f"_box.{n}")) for n in boxes.EDGES]
     content = F.concat(
         F.lit('{"bbox":['), F.concat_ws(",", *corner), F.lit('],"datetime":"'), c(datetime),
         F.lit('","properties":'), bag, F.lit("}"),
     )
     tags = F.array(
-        tag("d", F.concat_ws(":", c(dataset), tiles.tile_key(z, x, y))),
-        tag("g", geohash.encode(mid["lat"], mid["lon"], K.EVENT_PRECISION)),
-        tag("a", collection_address(pubkey, dataset)),
-        tag("x", c(sha256)), tag("url", c(url)), tag("m", c(mime)),
+        tag("d", F.concat_ws(":", c(dataset), F.col("_key"))), tag("g", F.col("_cell")),
+        tag("a", collection_address(pubkey, dataset)), tag("x", c(sha256)), tag("url", c(url)), tag("m", c(mime)),
         tag("size", long(size).cast("string")),
     )
     event = F.struct(
         F.lit(K.KIND_ITEM).alias("kind"), long(created_at).alias("created_at"),
         tags.alias("tags"), content.alias("content"),
     )
-    return F.struct(code.alias("code"), F.when(code.isNull(), event).alias("event"))
+    out = df.withColumn(name, F.struct(F.col("_code").alias("code"), F.when(F.col("_code").isNull(), event).alias("event")))
+    return out.drop("_code", "_box", "_cell", "_key", "_bag")
 
 
-def _ladder(lat, lon, precisions) -> list[Column]:
-    deepest = geohash.encode(lat, lon, max(precisions))
-    return [tag("g", F.substring(deepest, 1, p)) for p in sorted(set(precisions))]
+def _ladder(cell, precisions=K.SOCIAL_PRECISIONS) -> list[Column]:
+    """Cell tags, one per precision, cut from the deepest cell.
 
+    ``cell`` should be a column of its own: it is read once per precision.
+    """
+    return [tag("g", F.substring(c(cell), 1, p)) for p in sorted(set(precisions))]
 
-def announcement_tags(sha256, url, media_type, size, box, precisions=K.SOCIAL_PRECISIONS) -> Column:
-    """Tags of a file announcement with one cell tag per precision."""
-    edge = [c(v) for v in box]
-    mid = boxes.centre(*edge)
+
+def announcement_tags(sha256, url, media_type, size, box, cell, precisions=K.SOCIAL_PRECISIONS) -> Column:
+    """Tags of a file announcement; ``cell`` is the cell of the box centre."""
     return F.array(
         tag("x", c(sha256)), tag("url", c(url)), tag("m", c(media_type)),
         tag("size", long(size).cast("string")),
-        tag("bbox", *[numbers.canonical_coordinate(v) for v in edge]),
-        *_ladder(mid["lat"], mid["lon"], precisions),
+        tag("bbox", *[numbers.canonical_coordinate(v) for v in box]),
+        *_ladder(cell, precisions),
     )
 
 
@@ -196,57 +200,60 @@ def _point_text(lon, lat) -> Column:
     return F.format_string("%.6f,%.6f,%.6f,%.6f", c(lon), c(lat), c(lon), c(lat))
 
 
-def placement_tags(sha256, url, size, name, lon, lat, heading, topic: str) -> Column:
+def placement_tags(sha256, url, size, name, lon, lat, cell, heading, topic: str) -> Column:
     return F.array(
         tag("x", c(sha256)), tag("url", c(url)), tag("m", "model/gltf-binary"),
         tag("size", long(size).cast("string")), tag("bbox", _point_text(lon, lat)),
         tag("heading", F.format_string("%.1f", c(heading))), tag("t", topic), tag("name", c(name)),
-        *_ladder(c(lat), c(lon), K.SOCIAL_PRECISIONS),
+        *_ladder(cell),
     )
 
 
-def presence_tags(dataset: str, sha256, name, lon, lat, topic: str) -> Column:
+def presence_tags(dataset: str, sha256, name, lon, lat, cell, topic: str) -> Column:
     return F.array(
         tag("d", dataset), tag("name", c(name)), tag("x", c(sha256)),
-        tag("bbox", _point_text(lon, lat)), tag("t", topic),
-        *_ladder(c(lat), c(lon), K.SOCIAL_PRECISIONS),
+        tag("bbox", _point_text(lon, lat)), tag("t", topic), *_ladder(cell),
     )
 
 
-def presence_message(message, lat, lon) -> Column:
-    said = F.nullif(F.substring(F.trim(c(message)), 1, 280), F.lit(""))
-    return F.coalesce(said, F.format_string("exploring %.4f, %.4f", c(lat), c(lon)))
-
-
-def meetup_tags(prefix: str, title, starts, location, lon, lat, topic: str) -> Column:
+def meetup_tags(prefix: str, title, starts, location, lon, lat, cell, topic: str) -> Column:
+    """Tags of a meetup; ``cell`` has at least eight letters."""
     name = F.substring(F.trim(c(title)), 1, 120)
     where = F.coalesce(F.nullif(F.substring(F.trim(c(location)), 1, 160), F.lit("")), name)
     when = long(starts).cast("string")
     return F.array(
-        tag("d", F.concat_ws("-", F.lit(prefix), when, geohash.encode(c(lat), c(lon), 8))),
+        tag("d", F.concat_ws("-", F.lit(prefix), when, F.substring(c(cell), 1, 8))),
         tag("title", name), tag("start", when), tag("location", where),
-        tag("bbox", _point_text(lon, lat)), tag("t", topic),
-        *_ladder(c(lat), c(lon), K.SOCIAL_PRECISIONS),
+        tag("bbox", _point_text(lon, lat)), tag("t", topic), *_ladder(cell),
     )
 
 
+def presence_message(message, lat, lon) -> Column:
+    said = F.nullif(F.substring(F.trim(c(message)), 1, 280), F.lit(""))
+    return F.coalesce(said, F.format_string("exploring %.4f, %.4f", c(lat), c(lon)))
+
+
 # --- identity ------------------------------------------------------------------------------
+_SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+_CONTROLS = [_SHORT.get(n, f"\\u{n:04x}") for n in range(32)]
+
+
 def json_string(value) -> Column:
-    """A JSON string literal with the minimal escapes (quote, backslash, controls)."""
+    """A JSON string literal with the minimal escapes (quote, backslash, controls).
+
+    Only texts that hold such a character are taken apart.
+    """
     v = c(value)
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
-                         ("\b", "\\b"), ("\f", "\\f")):
-        v = F.replace(v, F.lit(raw), F.lit(escaped))
-    rest = [n for n in range(32) if chr(n) not in "\n\r\t\b\f"]
-
-    def controls(text):
-        for n in rest:
-            text = F.replace(text, F.lit(chr(n)), F.lit(f"\\u{n:04x}"))
-        return text
-
-    # Bare control characters are rare; the long chain runs only for texts that hold one.
-    v = F.when(v.rlike(r"[\x00-\x1f]"), controls(v)).otherwise(v)
-    return F.concat(F.lit('"'), v, F.lit('"'))
+    controls = F.array(*[F.lit(e) for e in _CONTROLS])
+
+    def escape(ch):
+        return (
+            F.when(ch == '"', '\\"').when(ch == "\\", "\\\\")
+            .when((ch != "") & (F.ascii(ch) < 32), F.get(controls, F.ascii(ch))).otherwise(ch)
+        )
+
+    taken_apart = F.array_join(F.transform(F.split(v, ""), escape), "")
+    return F.concat(F.lit('"'), F.when(v.rlike(r'[\x00-\x1f"\\]'), taken_apart).otherwise(v), F.lit('"'))
 
 
 def serialised(pubkey, created_at, kind, tags, content) -> Column:

@@ -29,7 +29,7 @@ def _rounded(value) -> Column:
     the seven-place value is taken wherever it is the number itself.
     """
     v = c(value).cast("double")
-    printed = v.cast("string").try_cast("decimal(38,18)")
+    printed = v.try_cast("decimal(38,18)")
     short = F.bround(printed, 7)
     return F.bround(F.when(short.cast("double") == v, short).otherwise(printed), 6)
 
@@ -41,11 +41,7 @@ def quantised(value) -> Column:
 
 def canonical_coordinate(value) -> Column:
     """Six places half-even, positional, no trailing zeros, no negative zero."""
-    text = F.format_string("%s", _rounded(value).cast("decimal(38,6)"))
-    text = F.regexp_replace(text, r"0+$", "")
-    text = F.regexp_replace(text, r"\.$", "")
-    plain = F.when(_rounded(value) == 0, F.lit("0")).otherwise(text)
-    return F.when(_rounded(value).isNotNull(), plain)
+    return F.regexp_replace(_rounded(value).cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
 
 
 def _digits(value: float) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cartolith import constants as K
-from cartolith.functions._c import c, first_code, long
+from cartolith.functions._c import c, first_code, let, long
 
 
 def span(z) -> Column:
@@ -117,25 +117,53 @@ def native_zoom(resolution_m, latitude, tile_px: int = K.TILE_PX) -> Column:
 
 def zoom_for_resolution(latitude, target_m_per_px) -> Column:
     """Shallowest zoom in 0..23 whose pixel is at most the target; 23 when none is."""
-    zooms = F.sequence(F.lit(0), F.lit(23))
-    hit = F.filter(zooms, lambda z: metres_per_pixel(z, latitude) <= c(target_m_per_px))
-    return F.coalesce(F.array_min(hit), F.lit(23))
+    equator = K.EARTH_CIRCUMFERENCE_M * F.cos(F.radians(c(latitude)))
+    pair = F.struct(equator.alias("m"), c(target_m_per_px).alias("t"))
+
+    def shallowest(s):
+        zooms = F.sequence(F.lit(0), F.lit(23))
+        fine = F.filter(zooms, lambda z: s["m"] / (F.pow(F.lit(2.0), z) * float(K.TILE_PX)) <= s["t"])
+        return F.coalesce(F.array_min(fine), F.lit(23))
+
+    return let(pair, shallowest)
 
 
 def mesh_zoom(west, east, target_px=K.MESH_GRID_N, tile_px=K.TILE_PX, min_zoom=8, max_zoom=13):
     """Shallowest zoom giving ``target_px`` samples across the box, inside the source's range."""
     need = c(target_px) * 360.0 / (c(tile_px) * (c(east) - c(west)))
-    zooms = F.sequence(c(min_zoom), c(max_zoom))
-    return F.coalesce(
-        F.array_min(F.filter(zooms, lambda z: F.pow(F.lit(2.0), z) >= need)), c(max_zoom)
+    row = F.struct(need.alias("need"), c(min_zoom).alias("lo"), c(max_zoom).alias("hi"))
+
+    def shallowest(s):
+        enough = F.filter(F.sequence(s["lo"], s["hi"]), lambda z: F.pow(F.lit(2.0), z) >= s["need"])
+        return F.coalesce(F.array_min(enough), s["hi"])
+
+    return let(row, shallowest)
+
+
+def budget_zoom(west, south, east, north, zoom, min_zoom: int = 8, budget: int = K.MESH_TILE_BUDGET) -> Column:
+    """Deepest zoom from ``zoom`` down to ``min_zoom`` whose tile count fits the budget.
+
+    The edges are projected once; each zoom then costs a few multiplications.
+    """
+    def row_of(lat):
+        clamped = F.greatest(F.lit(-K.MAX_LATITUDE), F.least(F.lit(K.MAX_LATITUDE), c(lat)))
+        return lat_to_y(clamped, 0)
+
+    edges = F.struct(
+        lon_to_x(west, 0).alias("x0"), lon_to_x(east, 0).alias("x1"), row_of(north).alias("y0"),
+        row_of(south).alias("y1"), c(zoom).cast("int").alias("z"),
     )
 
+    def deepest(s):
+        def fits(z):
+            n = F.pow(F.lit(2.0), z)
+            at = lambda v: F.least(F.greatest(F.floor(v * n), F.lit(0)), n - 1)
+            return (at(s["x1"]) - at(s["x0"]) + 1) * (at(s["y1"]) - at(s["y0"]) + 1) <= budget
+
+        zooms = F.sequence(F.lit(min_zoom), F.greatest(F.lit(min_zoom), s["z"]))
+        return F.coalesce(F.array_max(F.filter(zooms, fits)), F.lit(min_zoom))
 
-def budget_zoom(west, south, east, north, zoom, min_zoom=8, budget: int = K.MESH_TILE_BUDGET):
-    """Deepest zoom at or above ``min_zoom`` whose tile count fits the budget."""
-    zooms = F.sequence(c(min_zoom), F.greatest(c(min_zoom), c(zoom)))
-    fits = F.filter(zooms, lambda z: count_tiles(west, south, east, north, z) <= budget)
-    return F.coalesce(F.array_max(fits), c(min_zoom))
+    return let(edges, deepest)
 
 
 def elevation_from_rgb(red, green, blue) -> Column:

@@ -186,15 +186,19 @@ def seed(items: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def reseed(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Targeted seed: existing rows are put back to pending, missing ones are added."""
+    """Targeted seed: existing rows are put back to pending, missing ones are added.
+
+    One outer join on the key does both.
+    """
     mark = wanted.select(*ITEM_KEY).distinct().withColumn("_again", F.lit(True))
+    joined = items.join(mark, ITEM_KEY, "full_outer")
     again = F.col("_again").isNotNull()
-    reset = items.join(mark, ITEM_KEY, "left").withColumns({
+    out = joined.withColumns({
         "status": F.when(again, "pending").otherwise(F.col("status")),
         "attempts": F.when(again, F.lit(0).cast("bigint")).otherwise(F.col("attempts")),
         "last_error": F.when(~again, F.col("last_error")),
-    }).drop("_again")
-    return seed(reset.select(*items.columns), wanted)
+    })
+    return out.select(*items.columns)
 
 
 def claim(items: DataFrame, region: str, limit: int, kind: str | None = None, tile=None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import boxes
 from cartolith.functions._c import c
 
-LEVELS = tuple(range(0, 17, 2))
+LEVELS = tuple(range(0, 17))
 
 
 def _size(level) -> Column:
@@ -37,22 +37,25 @@ def _cell(value, origin: float, level) -> Column:
 
 
 def _levels_of(df: DataFrame, box) -> DataFrame:
-    """Levels in use: at most nine rows, so a broadcast of it is bounded by construction."""
-    return df.select(grid_level(*box).alias("_used")).distinct()
+    """Levels in use, as one row with an array of at most seventeen numbers.
+
+    Its size is bounded by construction, so it may be broadcast.
+    """
+    used = df.select(grid_level(*box).alias("l")).distinct()
+    return used.agg(F.collect_set("l").alias("_used")).withColumn("_one", F.lit(1))
 
 
 def _spread(df: DataFrame, box, used_by_other: DataFrame, mark: str) -> DataFrame:
+    """Rows repeated per grid cell: own level, and coarser levels the other side lives on."""
     w, s, e, n = box
-    rows = df.withColumn("_own", grid_level(*box))
-    rows = rows.withColumn(
-        "_lvl", F.explode(F.filter(F.array(*[F.lit(v) for v in LEVELS]), lambda v: v <= F.col("_own")))
-    )
-    rows = rows.join(F.broadcast(used_by_other), F.col("_lvl") == F.col("_used"), "left")
-    rows = rows.where((F.col("_lvl") == F.col("_own")) | F.col("_used").isNotNull())
+    rows = df.withColumns({"_own": grid_level(*box), "_one": F.lit(1)})
+    rows = rows.join(F.broadcast(used_by_other), "_one").drop("_one")
+    wanted = F.filter(F.array_union("_used", F.array("_own")), lambda v: v <= F.col("_own"))
+    rows = rows.withColumn("_lvl", F.explode(wanted)).drop("_used")
     rows = rows.withColumn(
         "_cx", F.explode(F.sequence(_cell(w, 180.0, "_lvl"), _cell(e, 180.0, "_lvl")))
     ).withColumn("_cy", F.explode(F.sequence(_cell(s, 90.0, "_lvl"), _cell(n, 90.0, "_lvl"))))
-    return rows.withColumn(mark, F.col("_lvl") == F.col("_own")).drop("_own", "_used")
+    return rows.withColumn(mark, F.col("_lvl") == F.col("_own")).drop("_own")
 
 
 def box_join(

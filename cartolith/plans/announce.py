@@ -47,8 +47,8 @@ def assemble(items: DataFrame, server: str, pubkey: str, now: int) -> DataFrame:
     collection = events.collection_event(
         "kind", fact("kind", "title"), box, mime, fact("kind", "license"), fact("kind", "source"), F.lit(host), F.lit(now)
     )
-    item = events.item_event(
-        "kind", F.lit(pubkey), "z", "x", "y", "sha256", F.concat(F.lit(host + "/"), F.col("sha256")), mime,
+    rows = rows.withColumn("collection", collection)
+    return events.with_item_event(
+        rows, "item", "kind", F.lit(pubkey), "z", "x", "y", "sha256", F.concat(F.lit(host + "/"), F.col("sha256")), mime,
         "bytes", events.rfc3339("updated_at"), F.lit(now),
     )
-    return rows.withColumns({"collection": collection, "item": item})

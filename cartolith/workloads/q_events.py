@@ -8,6 +8,7 @@ from cartolith import constants as K
 from cartolith.functions import boxes, events, geohash, grammar, numbers, tiles
 from cartolith.operators import corpus, feed
 from cartolith.plans import announce
+from cartolith.session import cut_lineage
 from cartolith.workloads import duck
 from cartolith.workloads.registry import query
 
@@ -137,13 +138,13 @@ SELECT tb.event_id, {duck.gh('lat', 'lon', 4)} AS g, concat('dem:', CAST(z AS VA
 FROM tb JOIN canon USING (event_id)""", "v_tiles")
 def _(v):
     sha = F.sha2(F.col("event_id").cast("string"), 256)
-    row = events.item_event(
-        F.lit("dem"), sha, "z", "x", "y", sha, F.concat(F.lit("https://h/"), sha), F.lit("image/png"), F.col("event_id") + 1,
+    rows = events.with_item_event(
+        v.v_tiles, "r", F.lit("dem"), sha, "z", "x", "y", sha, F.concat(F.lit("https://h/"), sha), F.lit("image/png"), F.col("event_id") + 1,
         F.lit("2024-01-01T00:00:00Z"), F.lit(1700000000),
     )
     e = F.col("r.event")
     edge = F.split(F.regexp_extract(e["content"], r'\[([^\]]*)\]', 1), ",")
-    return v.v_tiles.select("event_id", row.alias("r")).select(
+    return rows.select(
         "event_id", events.tag_value(e["tags"], "g").alias("g"), events.tag_value(e["tags"], "d").alias("d"),
         edge[0].alias("west"), edge[2].alias("east"), events.tag_value(e["tags"], "size").alias("size"),
     )
@@ -154,8 +155,9 @@ WITH {duck.canon('v_boxes', 'id', ['west', 'south', 'east', 'north'])}, g AS (SE
 SELECT b.id, concat('x|', sha256, ';url|https://h/', sha256, ';m|', media_type, ';size|', CAST(size AS VARCHAR), ';bbox|', west_t, '|', south_t, '|', east_t, '|', north_t, ';',
  array_to_string(list_transform(range(1, 7), lambda n: concat('g|', substr(h, 1, CAST(n AS INT)))), ';')) AS tags FROM v_boxes b JOIN canon c ON c.id = b.id JOIN g ON g.id = b.id""", "v_boxes")
 def _(v):
-    tags = events.announcement_tags("sha256", F.concat(F.lit("https://h/"), "sha256"), "media_type", "size", BOX)
-    return v.v_boxes.select("id", _flat(tags).alias("tags"))
+    rows = v.v_boxes.withColumn("cell", boxes.centre_hash(*BOX, 6))
+    tags = events.announcement_tags("sha256", F.concat(F.lit("https://h/"), "sha256"), "media_type", "size", BOX, "cell")
+    return rows.select("id", _flat(tags).alias("tags"))
 
 
 _LADDER = "array_to_string(list_transform(range(1, 7), lambda n: concat('g|', substr(h, 1, CAST(n AS INT)))), ';')"
@@ -169,10 +171,11 @@ SELECT event_id, concat('d|net;name|', name, ';x|', id, ';bbox|', {_PT}, ';t|her
  concat('d|meet-', CAST(created_at AS VARCHAR), '-', h8, ';title|', content, ';start|', CAST(created_at AS VARCHAR), ';location|', name, ';bbox|', {_PT}, ';t|meet;', {_LADDER}) AS meetup,
  printf('exploring %.4f, %.4f', lat, lon) AS message FROM f""", "v_feed")
 def _(v):
-    return v.v_feed.select(
-        "event_id", _flat(events.presence_tags("net", "id", "name", "lon", "lat", "here")).alias("presence"),
-        _flat(events.placement_tags("id", F.lit("u"), F.lit(7), "name", "lon", "lat", F.col("slot") * 0.3, "avatar")).alias("placement"),
-        _flat(events.meetup_tags("meet", "content", "created_at", "name", "lon", "lat", "meet")).alias("meetup"),
+    rows = v.v_feed.withColumn("cell", geohash.encode("lat", "lon", 8))
+    return rows.select(
+        "event_id", _flat(events.presence_tags("net", "id", "name", "lon", "lat", "cell", "here")).alias("presence"),
+        _flat(events.placement_tags("id", F.lit("u"), F.lit(7), "name", "lon", "lat", "cell", F.col("slot") * 0.3, "avatar")).alias("placement"),
+        _flat(events.meetup_tags("meet", "content", "created_at", "name", "lon", "lat", "cell", "meet")).alias("meetup"),
         events.presence_message(F.lit("  "), "lat", "lon").alias("message"),
     )
 
@@ -181,17 +184,22 @@ def _tagged(v, *extra):
     """Signed-looking feed rows: honest ids, except that errors carry a foreign one."""
     tag = events.tag
     pos = F.format_string("%.6f,%.6f", "lon", "lat")
-    deepest = geohash.encode("lat", "lon", 6)
     tags = F.array(
         tag("name", F.when(F.col("slot") > 0, F.col("name")).otherwise("")), tag("x", F.col("id")), tag("bbox", pos),
         tag("title", F.col("content")), tag("start", F.col("created_at").cast("string")),
-        *[tag("g", F.substring(deepest, 1, p)) for p in (3, 6, 4)], *extra,
+        *[tag("g", F.substring("cell", 1, p)) for p in (3, 6, 4)], *extra,
     )
-    rows = v.v_feed.withColumn("tags", tags).withColumn("sig", F.lit("ab"))
+    rows = v.v_feed.withColumn("cell", geohash.encode("lat", "lon", 6))
+    rows = rows.withColumn("tags", tags).withColumn("sig", F.lit("ab"))
     true_id = events.event_id("pubkey", "created_at", "kind", "tags", "content")
     return rows.withColumn("id", F.when(F.col("content") == "error", F.col("id")).otherwise(true_id))
 
 
+def _stored(v):
+    """The tagged feed as a stored event table, which is how a feed is read."""
+    return cut_lineage(_tagged(v), "feed-table")
+
+
 _SERIAL = f"""ser AS (SELECT *, concat('[0,"', pubkey, '",', CAST(created_at AS VARCHAR), ',', CAST(kind AS VARCHAR), ',[["name","', CASE WHEN slot > 0 THEN name ELSE '' END, '"],["x","', id, '"],["bbox","', printf('%.6f,%.6f', lon, lat),
  '"],["title","', content, '"],["start","', CAST(created_at AS VARCHAR), '"],["g","', substr(h, 1, 3), '"],["g","', h, '"],["g","', substr(h, 1, 4), '"]],"', content, '"]') AS text FROM (SELECT *, {duck.gh('lat', 'lon', 6)} AS h FROM v_feed) f),
 good AS (SELECT *, sha256(text) AS true_id FROM ser WHERE content <> 'error')"""
@@ -204,7 +212,7 @@ def _(v):
 
 @query("c12_integrity", "SELECT content, count(*) FILTER (content <> 'error') AS kept, count(*) FILTER (content = 'error') AS tampered FROM v_feed GROUP BY content", "v_feed")
 def _(v):
-    good, bad = feed.split_integrity(_tagged(v))
+    good, bad = feed.split_integrity(_stored(v))
     rows = good.select("content", F.lit(1).alias("g")).unionByName(bad.select("content", F.lit(0).alias("g")))
     return rows.groupBy("content").agg(F.count_if(F.col("g") == 1).alias("kept"), F.count_if(F.col("g") == 0).alias("tampered"))
 
@@ -235,7 +243,7 @@ def _(v):
 @query("b45_presence_row", """
 SELECT event_id, name, id AS sha256, round(lon, 6) AS lon, round(lat, 6) AS lat, content AS message, created_at FROM v_feed WHERE slot > 0 AND kind = 30315""", "v_feed")
 def _(v):
-    rows = _tagged(v).where("kind = 30315").withColumn("p", events.presence("pubkey", "created_at", "content", "tags"))
+    rows = _stored(v).where("kind = 30315").withColumn("p", events.presence("pubkey", "created_at", "content", "tags"))
     return rows.where("p IS NOT NULL").select("event_id", "p.name", "p.sha256", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), "p.message", "p.created_at")
 
 
@@ -317,14 +325,14 @@ def _(v):
 
 @query("c07_cell_filter", f"SELECT event_id FROM v_feed WHERE kind = 1063 AND {duck.gh('lat', 'lon', 3)} = {duck.gh('48.2e0', '11.5e0', 3)}", "v_feed")
 def _(v):
-    return feed.cell_filter(_tagged(v), F.lit(48.2), F.lit(11.5), 3).select("event_id")
+    return feed.cell_filter(_stored(v), F.lit(48.2), F.lit(11.5), 3).select("event_id")
 
 
 @query("c07_box_filter", f"""
 SELECT w.view_id, p.event_id FROM v_views w JOIN v_feed p ON {duck.lon_ix('p.lon', 3)} BETWEEN {duck.lon_ix('w.west', 3)} AND {duck.lon_ix('w.east', 3)}
  AND {duck.lat_iy('p.lat', 3)} BETWEEN {duck.lat_iy('w.south', 3)} AND {duck.lat_iy('w.north', 3)} WHERE p.kind = 1063""", "v_views v_feed")
 def _(v):
-    return feed.box_filter(v.v_views, _tagged(v), 3)[0].select("view_id", "event_id")
+    return feed.box_filter(v.v_views, _stored(v), 3)[0].select("view_id", "event_id")
 
 
 @query("c08_write_gate", "SELECT event_id, CASE WHEN user_id = 8 THEN 'accept' ELSE 'reject' END AS action FROM v_feed", "v_feed")
@@ -341,16 +349,18 @@ _NOW = 1706000000
 @query("c10_fresh_notes", f"""
 WITH {_SERIAL} SELECT event_id, kind FROM good WHERE kind IN (1, 1063, 31923) AND created_at >= {_NOW} - 172800""", "v_feed")
 def _(v):
-    rows = feed.fresh_notes(_tagged(v).where("content <> 'error'"), _NOW)
-    return rows.join(_tagged(v).select("id", "event_id", "kind"), "id").select("event_id", "kind")
+    table = _stored(v)
+    rows = feed.fresh_notes(table.where("content <> 'error'"), _NOW)
+    return rows.join(table.select("id", "event_id", "kind"), "id").select("event_id", "kind")
 
 
 @query("g04_notes_newest_first", f"""
 WITH {_SERIAL} SELECT event_id, CASE WHEN kind = 31923 THEN concat('📅 ', content, ' ', strftime(make_timestamp(created_at * 1000000), '%H:%M')) ELSE content END AS content
 FROM good WHERE kind IN (1, 1063, 31923) AND created_at >= {_NOW} - 172800 ORDER BY created_at DESC, true_id LIMIT 100""", "v_feed")
 def _(v):
-    page = feed.newest(feed.fresh_notes(_tagged(v).where("content <> 'error'"), _NOW), 100)
-    return page.join(_tagged(v).select("id", "event_id"), "id").select("event_id", "content")
+    table = _stored(v)
+    page = feed.newest(feed.fresh_notes(table.where("content <> 'error'"), _NOW), 100)
+    return page.join(table.select("id", "event_id"), "id").select("event_id", "content")
 
 
 # --- state -----------------------------------------------------------------------------------------
@@ -365,7 +375,7 @@ def _(v):
 @query("f07_newest_status", f"""
 WITH {_SERIAL} SELECT pubkey, name, message, created_at FROM (SELECT pubkey, name, slot, content AS message, created_at, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, true_id) AS rn FROM good WHERE kind = 30315) f WHERE rn = 1 AND slot > 0""", "v_feed")
 def _(v):
-    good, _bad = feed.split_integrity(_tagged(v))
+    good, _bad = feed.split_integrity(_stored(v))
     return feed.newest_presences(good).select("pubkey", "name", "message", "created_at")
 
 

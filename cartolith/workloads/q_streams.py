@@ -68,13 +68,12 @@ def _(v):
 
 
 @query("i04_live_heads", f"""
-WITH {_DSER} SELECT kind, pubkey, slot AS d, event_id FROM (SELECT *, row_number() OVER (PARTITION BY kind, pubkey, slot ORDER BY created_at DESC, true_id) AS rn FROM good) f WHERE rn = 1""", "v_feed")
+WITH {_DSER} SELECT kind, pubkey, slot AS d, true_id AS id FROM (SELECT kind, pubkey, slot, true_id, row_number() OVER (PARTITION BY kind, pubkey, slot ORDER BY created_at DESC, true_id) AS rn FROM good) f WHERE rn = 1""", "v_feed")
 def _(v):
     stream = _feed_stream(v).withColumn("d", events.tag_value("tags", "d"))
     path = _run(v, live.live_heads(stream, ["kind", "pubkey", "d"]), "update")
     heads = live.read_latest(v.spark, path, ["kind", "pubkey", "d"])
-    ids = _tagged(v, events.tag("d", F.col("slot").cast("string"))).select("id", "event_id")
-    return heads.join(ids, "id").select("kind", "pubkey", F.col("d").cast("bigint").alias("d"), "event_id")
+    return heads.select("kind", "pubkey", F.col("d").cast("bigint").alias("d"), "id")
 
 
 @query("i05_publish_clock")
