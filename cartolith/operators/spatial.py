@@ -36,22 +36,18 @@ def _cell(value, origin: float, level) -> Column:
     return F.floor((c(value) + origin) / _size(level)).cast("bigint")
 
 
-def _levels_of(df: DataFrame, box) -> DataFrame:
-    """Levels in use, as one row with an array of at most seventeen numbers.
-
-    Its size is bounded by construction, so it may be broadcast.
-    """
+def _levels_of(df: DataFrame, box) -> Column:
+    """Levels in use as one array value: a scalar subquery of at most seventeen numbers."""
     used = df.select(grid_level(*box).alias("l")).distinct()
-    return used.agg(F.collect_set("l").alias("_used")).withColumn("_one", F.lit(1))
+    return used.agg(F.collect_set("l")).scalar()
 
 
-def _spread(df: DataFrame, box, used_by_other: DataFrame, mark: str) -> DataFrame:
+def _spread(df: DataFrame, box, used_by_other: Column, mark: str) -> DataFrame:
     """Rows repeated per grid cell: own level, and coarser levels the other side lives on."""
     w, s, e, n = box
-    rows = df.withColumns({"_own": grid_level(*box), "_one": F.lit(1)})
-    rows = rows.join(F.broadcast(used_by_other), "_one").drop("_one")
-    wanted = F.filter(F.array_union("_used", F.array("_own")), lambda v: v <= F.col("_own"))
-    rows = rows.withColumn("_lvl", F.explode(wanted)).drop("_used")
+    rows = df.withColumns({"_own": grid_level(*box), "_used": used_by_other})
+    rows = rows.withColumn("_lvl", F.explode(F.array_union("_used", F.array("_own"))))
+    rows = rows.where(F.col("_lvl") <= F.col("_own")).drop("_used")
     rows = rows.withColumn(
         "_cx", F.explode(F.sequence(_cell(w, 180.0, "_lvl"), _cell(e, 180.0, "_lvl")))
     ).withColumn("_cy", F.explode(F.sequence(_cell(s, 90.0, "_lvl"), _cell(n, 90.0, "_lvl"))))

@@ -39,14 +39,18 @@ def event_columns(parsed: DataFrame) -> DataFrame:
 
 
 def read_characters(spark: SparkSession, path: str) -> DataFrame:
-    """Name to content hash from a manifest document, rows with a bad hash left out."""
-    docs = spark.read.text(path, wholetext=True)
+    """Name to content hash from manifest documents, one document per file."""
+    return characters(spark.read.text(path, wholetext=True)).orderBy("name")
+
+
+def characters(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Manifest entries of documents in ``value``; entries with a bad hash are left out."""
     entry = "map<string,struct<sha256:string,size:bigint,frames:array<string>>>"
-    rows = docs.select(F.explode(F.from_json("value", entry)).alias("name", "e"))
+    rows = docs.select(*(keep or []), F.explode(F.from_json("value", entry)).alias("name", "e"))
     hexa = lambda x: x.rlike("^[0-9a-f]{64}$")
     frames = F.when(F.coalesce(F.forall("e.frames", hexa), F.lit(False)), F.col("e.frames"))
     rows = rows.where(F.coalesce(hexa(F.col("e.sha256")), F.lit(False)))
-    return rows.select("name", "e.sha256", F.coalesce("e.size", F.lit(0)).alias("size"), frames.alias("frames")).orderBy("name")
+    return rows.select(*(keep or []), "name", "e.sha256", F.coalesce("e.size", F.lit(0)).alias("size"), frames.alias("frames"))
 
 
 DELIVERY = (
@@ -55,9 +59,9 @@ DELIVERY = (
 )
 
 
-def read_deliveries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_deliveries(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(delivery metadata, rejects): every provenance field is required."""
-    docs = spark.read.schema(DELIVERY).option("multiLine", True).json(path)
+    docs = spark.read.schema(DELIVERY).option("multiLine", multi_line).json(path)
     docs = docs.withColumn("file", F.col("_metadata.file_path"))
     required = ["m_per_px", "width_px", "height_px", "source.id", "source.name", "source.license", "source.attribution"]
     missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in required]))

@@ -53,11 +53,7 @@ def survey_stats(features: DataFrame) -> DataFrame:
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
     """Country polygons; a Polygon is read as a MultiPolygon of one."""
-    schema = (
-        "features array<struct<properties:struct<NAME:string,name:string>,"
-        "geometry:struct<type:string,coordinates:variant>>>"
-    )
-    # Two property spellings differ only in case, which needs case-sensitive parsing.
+    # Two property spellings differ only in case, so properties are read from a variant.
     docs = spark.read.text(path, wholetext=True)
     parsed = docs.select(F.parse_json("value").alias("v"))
     rows = parsed.select(
@@ -72,7 +68,6 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
     name = F.coalesce(
         F.try_variant_get("f", "$.properties.NAME", "string"), F.try_variant_get("f", "$.properties.name", "string"), F.lit("?")
     )
-    del schema
     return rows.select(name.alias("name"), shaped.alias("polygons")).where(F.col("polygons").isNotNull())
 
 
@@ -87,7 +82,7 @@ def read_city_parts(spark: SparkSession, path: str) -> DataFrame:
     return city_parts(docs.select(F.explode(F.variant_get("v", "$.features", "array<variant>")).alias("f")))
 
 
-def city_parts(features: DataFrame) -> DataFrame:
+def city_parts(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rings and heights from building-part features (variant column ``f``)."""
     from cartolith.functions.osm import part_height
 
@@ -99,8 +94,8 @@ def city_parts(features: DataFrame) -> DataFrame:
     )
     top = F.try_variant_get("f", "$.properties.O_KOTE", "double")
     ground = F.try_variant_get("f", "$.properties.T_KOTE", "double")
-    rows = features.select(part_height(top, ground).alias("height_m"), F.explode(outer).alias("r"))
+    rows = features.select(*(keep or []), part_height(top, ground).alias("height_m"), F.explode(outer).alias("r"))
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))
     return rows.where(F.col("height_m").isNotNull() & (F.size("r") >= 3)).select(
-        F.transform("r", point).alias("ring"), "height_m"
+        *(keep or []), F.transform("r", point).alias("ring"), "height_m"
     )
