@@ -20,7 +20,7 @@ DATASETS = {
         "source": "https://s3.amazonaws.com/elevation-tiles-prod/terrarium",
     },
     "features": {
-        "title": "OpenStreetMap feature tiles (TFT2)", "mime": K.MEDIA_TYPES["features"],
+        "title": "OpenStreetMap feature tiles", "mime": K.MEDIA_TYPES["features"],
         "license": "ODbL-1.0 — (c) OpenStreetMap contributors; share-alike applies to derived geometry",
         "source": "https://www.openstreetmap.org (via Overpass API)",
     },

@@ -228,3 +228,23 @@ def test_box_centre_and_overlap_edges(spark):
     touch = [F.lit(v) for v in (1.0, 0.0, 2.0, 1.0)]
     row = df.select(boxes.overlaps(boxes.EDGES, touch).alias("o"), boxes.contains_point(boxes.EDGES, F.lit(1.0), F.lit(1.0)).alias("p")).first()
     assert (row["o"], row["p"]) == (False, True)
+
+
+def test_observed_survey_counts(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("survey")
+    cells = spark.createDataFrame([(True, "covered"), (False, "gap"), (False, "sea")], "covered boolean, status string")
+    coverage.observe_cells(cells, seen).collect()
+    assert seen.get == {"cells": 3, "covered": 1, "gaps": 1}
+
+
+def test_sql_covers(spark):
+    from cartolith import sql
+    from cartolith.functions import geohash
+
+    sql.register(spark)
+    assert spark.sql("SELECT * FROM tile_cover(10.38D, 46.21D, 12.48D, 47.10D, 10)").count() == 35
+    for p in (1, 4, 7):
+        got = spark.sql(f"SELECT cell FROM geohash_cover(11.0D, 46.0D, 11.0D, 46.0D, {p})").first()["cell"]
+        assert got == spark.range(1).select(geohash.encode(F.lit(46.0), F.lit(11.0), p)).first()[0]
