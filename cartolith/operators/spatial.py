@@ -61,12 +61,14 @@ def box_join(
     right_box: tuple[str, str, str, str],
     closed: bool = False,
     condition: Column | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Pairs of rows whose boxes overlap, each pair once.
 
     ``closed`` also pairs boxes that only touch, which points need (a point is a box of
     no size). ``condition`` is an exact test on top of the box test. Column names of the
-    two inputs must differ.
+    two inputs must differ. ``hint`` is a join hint for the right side: ``"merge"`` spreads the
+    pair tests of two dense inputs over the shuffle even where one side would fit a broadcast.
     """
     a = _spread(left, left_box, _levels_of(right, right_box), "_a_own")
     b = _spread(right, right_box, _levels_of(left, left_box), "_b_own")
@@ -88,6 +90,8 @@ def box_join(
     )
     if condition is not None:
         on = on & condition
+    if hint is not None:
+        b = b.hint(hint)
     return a.join(b, on).select(*left.columns, *right.columns)
 
 

@@ -427,7 +427,8 @@ def _(v):
     a = v.v_boxes.select(F.col("id").alias("id_a"), *[F.col(n).alias(f"a_{n}") for n in BOX])
     b = v.v_boxes.select(F.col("id").alias("id_b"), *[F.col(n).alias(f"b_{n}") for n in BOX])
     pairs = spatial.box_join(
-        a, b, tuple(f"a_{n}" for n in BOX), tuple(f"b_{n}" for n in BOX), condition=F.col("id_a") < F.col("id_b")
+        a, b, tuple(f"a_{n}" for n in BOX), tuple(f"b_{n}" for n in BOX), condition=F.col("id_a") < F.col("id_b"),
+        hint="merge",
     )
     return pairs.select("id_a", "id_b")
 
