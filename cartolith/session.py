@@ -29,13 +29,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only a session without it (a
-    local test) gets a temporary folder.
+    ``spark.checkpoint.dir`` is read from the session. Only a session on a local master may
+    go without it (a test): executors of a cluster would not see each other's local files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
