@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm.common import filter_by_id, free_name
 from cartolith.session import cut_lineage
 
 #: Digests that one bucket is meant to hold.
@@ -188,14 +189,13 @@ def exact_groups(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """``docs`` with one row per distinct text; all columns stay. Rows that repeat a kept row go as well."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "group_size")
-    groups = cut_lineage(groups, "exact-kept")
-    stays = docs.join(groups.select("kept_id").distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
-    # Only ids that occur in several kept rows need their texts compared.
-    again = groups.groupBy("kept_id").count().where("count > 1").select("kept_id")
+    groups = cut_lineage(exact_groups(docs).where("kept").select("doc_id"), "exact-kept")
+    stays = filter_by_id(docs, groups.distinct(), "left_semi")
+    # Only ids that several kept rows bear need their rows compared.
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return stays
-    repeated = stays.join(again, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
-    return stays.join(again, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_anti").unionByName(
-        repeated.dropDuplicates(["doc_id"])
-    )
+    repeated = filter_by_id(stays, again, "left_semi").withColumn("text", F.coalesce("text", F.lit("")))
+    plain = free_name(docs, "plain")
+    repeated = repeated.withColumn(plain, F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).dropDuplicates([plain]).drop(plain)
+    return filter_by_id(stays, again, "left_anti").unionByName(repeated)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import exact_dedup, secrets
+from cartolith.llm import decontaminate, exact_dedup, secrets, simhash_dedup
 from cartolith.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,15 @@ def exact_dedup_query(table):
 def secret_query(table):
     """Secrets in every document."""
     return secrets.secret_report(table("documents"))
+
+
+@_query("op9_simhash_near_dedup")
+def near_query(table):
+    """Components of documents whose SimHash differs in two bits or fewer."""
+    return simhash_dedup.near_groups(table("documents"))
+
+
+@_query("op10_benchmark_decontamination")
+def decontamination_query(table):
+    """Benchmark windows in every document."""
+    return decontaminate.contamination_report(table("documents"), table("benchmark")).drop("spans")
