@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import decontaminate, exact_dedup, secrets, simhash_dedup
+from cartolith.llm import decontaminate, exact_dedup, language_id, packing, quality, secrets, simhash_dedup, toxicity
 from cartolith.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,36 @@ def near_query(table):
 def decontamination_query(table):
     """Benchmark windows in every document."""
     return decontaminate.contamination_report(table("documents"), table("benchmark")).drop("spans")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op5_best_fit_packing")
+def packing_query(table):
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(table("documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+@_query("op1_language_id")
+def language_query(table):
+    """Language of every document."""
+    return language_id.identify(table("documents"))
+
+
+@_query("op4_toxicity")
+def toxicity_query(table):
+    """Toxicity of every document."""
+    docs = table("documents")
+    return toxicity.score(docs, toxicity.train(docs, table("labels")))
+
+
+@_query("op8_quality")
+def quality_query(table):
+    """Quality of every document."""
+    docs = table("documents")
+    return quality.score(docs, quality.train(docs, table("labels")))
