@@ -28,8 +28,8 @@ BITS, RANK, STATS, SIZES = 16, 8, 12, 40
 PER_CLASS = 4000
 FOLDS, HELD_OUT = 4, 2
 WIDTH = (1 << BITS) + STATS + SIZES
-#: Weight of the words' relative frequencies beside the statistics.
-WORDS = 3.0
+#: Factors of the words' relative frequencies and of the statistics.
+WORDS, SHARES = 3.0, 4.0
 # Classes of bytes: 0 other, 1 upper, 2 lower or beyond ASCII, 3 digit, 4 white space, 5 mark, 6 sign.
 _CLASS = bytes(
     1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 or c >= 128 else 3 if 48 <= c <= 57 else 4 if c in b" \t\n\r\x0b\x0c"
@@ -79,7 +79,7 @@ def features(texts: list[str | None], sizes: list[int | None]) -> tuple[np.ndarr
     size = np.minimum(SIZES - 1, (2 * np.log2(length + 1)).astype(np.int64))
     row = np.concatenate((r, np.repeat(every, STATS), every))
     feature = np.concatenate((f, np.tile((1 << BITS) + np.arange(STATS), len(texts)), (1 << BITS) + STATS + size))
-    value = np.concatenate((WORDS * c / np.maximum(total[r], 1), stats.ravel(), np.ones(len(texts))))
+    value = np.concatenate((WORDS * c / np.maximum(total[r], 1), SHARES * stats.ravel(), np.ones(len(texts))))
     order = np.argsort(row, kind="stable")
     return row[order], feature[order], value[order]
 
@@ -100,7 +100,7 @@ class Model:
         return sigmoid(out)
 
 
-def _fit(examples: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def _fit(examples: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 6, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Stochastic gradient descent with per-coordinate rates."""
     bias, linear = 0.0, np.zeros(WIDTH)
     vectors = np.random.default_rng(7).normal(0, 0.05, (WIDTH, RANK))

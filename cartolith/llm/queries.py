@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import decontaminate, exact_dedup, language_id, packing, quality, secrets, simhash_dedup, toxicity
+from cartolith.llm import chat, decontaminate, exact_dedup, language_id, packing, quality, secrets, simhash_dedup, toxicity, url_filter
 from cartolith.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,27 @@ def quality_query(table):
     """Quality of every document."""
     docs = table("documents")
     return quality.score(docs, quality.train(docs, table("labels")))
+
+
+#: (verdict, host, path) of the rules of the URL query.
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@_query("op2_url_filter")
+def url_query(table):
+    """Verdict on every page's URL."""
+    return url_filter.judge(table("pages"), RULES)
+
+
+@_query("op6_chat_format", """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT conv_id, turn, md5(string_agg(concat(turn, chr(1), role, chr(2), text), chr(3)) OVER (PARTITION BY conv_id ORDER BY turn)) AS h,
+             turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM t),
+k AS (SELECT min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE last AND h NOT IN (SELECT h FROM p WHERE NOT last) GROUP BY h)
+SELECT conv_id, turn, role, copies, concat('<|', role, '|>', chr(10), text, chr(10), '<|end|>', chr(10)) AS rendered FROM t JOIN k USING (conv_id)
+""")
+def chat_query(table):
+    """Chat text of the conversations that no longer one begins with."""
+    return chat.render(table("conversations"))

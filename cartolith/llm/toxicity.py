@@ -1,6 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the presence of single words, word beginnings, neighbouring pairs and pairs with one word between.
+Features are the presence of single words, word beginnings, neighbouring pairs and pairs with one word between;
+pairs, which are many and mostly seen once, have the smaller value `PAIR_VALUE`.
 Per-coordinate rates and L1 leave few weights, which go to the tasks as two short arrays. Training reads at most
 `PER_CLASS` labelled documents of each class, whole texts, outside the held-out fold; the bias is then moved to the
 share of toxic rows among all labelled ones.
@@ -22,21 +23,21 @@ from pyspark.sql import functions as F
 from cartolith.llm import hashed
 from cartolith.llm.ftrl import Ftrl, epochs, fold, per_class_sample, sigmoid
 
-BITS, STEMS = 20, (4, 5)
-PER_CLASS = 5000
+BITS, STEMS, PAIR_VALUE = 20, (4, 5, 6), 0.2
+PER_CLASS = 4000
 FOLDS, HELD_OUT = 5, 0
 _PAIR, _SKIP, _STEM = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of every feature occurrence, block by block."""
+def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(row, bucket, 1 for pairs and else 0) of every feature occurrence, block by block."""
     for row, h, own, stems in hashed.words(texts, 2, STEMS):
-        yield row[own], hashed.bucket(h[own], BITS)
+        yield row[own], hashed.bucket(h[own], BITS), 0
         for stem in stems:
-            yield row[own], hashed.bucket(stem[own] * _STEM, BITS)
+            yield row[own], hashed.bucket(stem[own] * _STEM, BITS), 0
         for gap, factor in ((1, _PAIR), (2, _SKIP)):
             both = own[:-gap] & (row[:-gap] == row[gap:])
-            yield row[:-gap][both], hashed.bucket((h[:-gap] * factor + h[gap:])[both], BITS)
+            yield row[:-gap][both], hashed.bucket((h[:-gap] * factor + h[gap:])[both], BITS), 1
 
 
 class Model:
@@ -47,14 +48,14 @@ class Model:
         slot = np.zeros(1 << BITS, np.int32)
         slot[self.at] = np.arange(1, len(self.at) + 1)
         rows, slots = [], []
-        for row, feature in features(texts):
+        for row, feature, pair in features(texts):
             s = slot[feature]
             rows.append(row[s > 0])
-            slots.append(s[s > 0])
+            slots.append(2 * s[s > 0].astype(np.int64) + pair)
         total = np.zeros(len(texts))
         if rows:
-            row, s, _ = hashed.distinct_rows(np.concatenate(rows), np.concatenate(slots).astype(np.int64), BITS + 1)
-            total = np.bincount(row, self.weight[s - 1], len(texts)) if len(row) else total
+            row, s, _ = hashed.distinct_rows(np.concatenate(rows), np.concatenate(slots), BITS + 2)
+            total = np.bincount(row, self.weight[s // 2 - 1] * np.where(s % 2, PAIR_VALUE, 1.0), len(texts)) if len(row) else total
         return sigmoid(total + self.bias)
 
 
@@ -62,7 +63,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index = []
         for text in batch.column("text"):
-            found = [f for _, f in features([text.as_py()])]
+            found = [2 * f + pair for _, f, pair in features([text.as_py()])]
             index.append(np.unique(np.concatenate(found) if found else np.zeros(0, np.int64)).astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(index, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
@@ -86,10 +87,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     order = np.lexsort((found.column("label").to_numpy(), found.column("doc_id").to_numpy()))
     at, label = found.column("at").combine_chunks(), found.column("label").to_pylist()
     examples = [(at[int(k)].values.to_numpy(), label[int(k)]) for k in order]
-    model = Ftrl(1 << BITS, 1, alpha=0.1, l1=1.0, l2=0.1)
-    for index, target in epochs(examples, 3):
+    model = Ftrl(1 << BITS, 1, alpha=1.0, l1=6.0, l2=0.1)
+    for index, target in epochs(examples, 4):
         if len(index):
-            model.step(index, np.ones(len(index)), np.array([target]), sigmoid)
+            # A bucket that a word and a pair share counts once for each, so its values are added first.
+            at, back = np.unique(index >> 1, return_inverse=True)
+            model.step(at, np.bincount(back, np.where(index & 1, PAIR_VALUE, 1.0)), np.array([target]), sigmoid)
     weight = model.weights()[:, 0]
     kept = np.flatnonzero(weight)
     taken = sum(t for _, t in examples) / max(1, len(examples))
