@@ -189,10 +189,12 @@ def exact_groups(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """``docs`` with one row per distinct text; all columns stay. Rows that repeat a kept row go as well."""
-    groups = cut_lineage(exact_groups(docs).where("kept").select("doc_id"), "exact-kept")
-    stays = filter_by_id(docs, groups.distinct(), "left_semi")
+    per_id = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    per_id = cut_lineage(per_id, "exact-ids")
+    # The dropped ids are far fewer than the kept ones: Spark may broadcast them, and then no text is moved.
+    stays = filter_by_id(docs, cut_lineage(per_id.where("NOT kept").select("doc_id"), "exact-dropped"), "left_anti")
     # Only ids that several kept rows bear need their rows compared.
-    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = cut_lineage(per_id.where("kept AND n > 1").select("doc_id"), "exact-again")
     if again.isEmpty():
         return stays
     repeated = filter_by_id(stays, again, "left_semi").withColumn("text", F.coalesce("text", F.lit("")))

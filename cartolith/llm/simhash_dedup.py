@@ -82,5 +82,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def dedup_near(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest ``doc_id`` of each component; all columns stay."""
-    stays = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return filter_by_id(docs, cut_lineage(stays, "near-kept"), "left_semi")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = near_groups(docs).groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select("doc_id")
+    # The dropped ids are far fewer than the kept ones: Spark may broadcast them, and then no text is moved.
+    return filter_by_id(docs, cut_lineage(dropped, "near-dropped"), "left_anti")
