@@ -152,3 +152,17 @@ REGIONS = {
     "vienna": (16.18, 48.11, 16.58, 48.33),
     "europe": (-25.0, 34.0, 32.0, 71.5),
 }
+
+# Wording of the elevation disclosure, part of the results.
+NOTICE_SOURCE = "Elevation source "
+NOTICE_DSM = "a surface model"
+NOTICE_MIXED = "a mixed surface/terrain mosaic"
+NOTICE_UNKNOWN = (
+    " did not report whether it measures bare earth. Buildings, roads and land cover "
+    "are placed on it unverified and are indicative only."
+)
+NOTICE_SURFACE = (
+    ", not bare earth: it measures rooftops and canopy. Buildings extruded from it "
+    "stand too tall — measured at +5.54 m in built-up areas — and roads and land "
+    "cover drape at roof height. Indicative only."
+)

@@ -227,16 +227,20 @@ def apply_results(items: DataFrame, results: DataFrame) -> DataFrame:
     """Mark items done or failed from a table of outcomes.
 
     ``results``: item key, ``r_error`` (null when done), ``r_sha256``, ``r_bytes``,
-    ``r_buildings``, ``r_roads``, ``r_landuse``, ``r_at``. At most one row per key.
+    ``r_buildings``, ``r_roads``, ``r_landuse``, ``r_at``. Of several outcomes
+    of a key the last one counts (a success before a failure of the same time), and each is an attempt.
     """
-    joined = items.join(results.withColumn("_hit", F.lit(True)), ITEM_KEY, "left")
+    rest = [F.col(n) for n in results.columns if n not in ITEM_KEY]
+    order = F.struct("r_at", F.col("r_error").isNull(), "r_sha256")
+    last = results.groupBy(*ITEM_KEY).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.count("*").alias("_hit"))
+    joined = items.join(last.select(*ITEM_KEY, "_r.*", "_hit"), ITEM_KEY, "left")
     hit = F.col("_hit").isNotNull()
     failed = hit & F.col("r_error").isNotNull()
     done = hit & F.col("r_error").isNull()
     count = lambda n: F.when(done, F.coalesce(F.col(f"r_{n}"), F.lit(0))).otherwise(F.col(n))
     out = joined.withColumns({
         "status": F.when(done, "done").when(failed, "failed").otherwise(F.col("status")),
-        "attempts": F.col("attempts") + F.when(hit, 1).otherwise(0),
+        "attempts": (F.col("attempts") + F.coalesce("_hit", F.lit(0))).cast(items.schema["attempts"].dataType),
         "last_error": F.when(failed, F.substring("r_error", 1, K.MAX_ERROR_CHARS)).when(~done, F.col("last_error")),
         "sha256": F.when(done, F.col("r_sha256")).otherwise(F.col("sha256")),
         "bytes": F.when(done, F.col("r_bytes")).otherwise(F.col("bytes")),

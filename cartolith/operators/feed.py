@@ -150,9 +150,20 @@ def heads(feed: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "_head.*")
 
 
-def newest_presences(feed: DataFrame) -> DataFrame:
-    """Newest valid-kind status per author, then its presence fields where it has them."""
-    status = heads(feed.where(F.col("kind") == K.KIND_STATUS), ["pubkey"])
+def on_topic(feed: DataFrame, topic: str | None) -> DataFrame:
+    """Events that carry ``topic`` among their ``t`` tags; all events for no topic."""
+    if topic is None:
+        return feed
+    return feed.where(F.coalesce(F.array_contains(events.tag_values("tags", "t"), topic), F.lit(False)))
+
+
+def newest_presences(feed: DataFrame, topic: str | None = None) -> DataFrame:
+    """Newest status per author among those of the topic, then its presence fields where it has them.
+
+    The topic is tested before the newest one is taken, so another status of the author hides
+    nothing.
+    """
+    status = heads(on_topic(feed.where(F.col("kind") == K.KIND_STATUS), topic), ["pubkey"])
     rows = status.withColumn("_p", events.presence("pubkey", "created_at", "content", "tags"))
     return rows.where(F.col("_p").isNotNull()).select("_p.*")
 
@@ -188,6 +199,8 @@ def publish_clock(requests: DataFrame, keys: list[str], now: str = "now", order:
     of ``order``. ``last`` holds the last published time per address (column ``last``).
     ``code`` marks an overflow.
     """
+    if dict(requests.dtypes)[order] != "string":
+        raise ValueError(f"{order} must be text: parts and ranks of a second are ordered alike only then")
     rows = requests.withColumn("_p", F.substring(F.col(order).cast("string"), 1, 2))
     per_part = rows.groupBy(*keys, now, "_p").agg(F.count("*").alias("_n"))
     inside = W.partitionBy(*keys, now).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)

@@ -65,20 +65,21 @@ def fragment() -> Column:
     )
 
 
-def encode(features: DataFrame, order: str = "seq", cap: int = K.ELEMENT_CAP) -> tuple[DataFrame, DataFrame]:
-    """(tile blobs, refused tiles). Features keep ``order`` inside their layer.
+def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None = None) -> DataFrame:
+    """One blob per tile, whatever its size. Features keep ``order`` inside their layer.
 
-    A tile that reaches the element cap is refused before anything is joined, which also
-    bounds what one tile can bring together.
+    ``answered`` (z, x, y) names tiles that were asked for; those without features get a blob
+    with empty layers. Whether an answer was cut off is judged where it is fetched.
     """
     key = ["z", "x", "y"]
-    sizes = features.groupBy(*key).agg(F.count("*").alias("elements"))
-    refused = sizes.where(F.col("elements") >= cap).withColumn("code", F.lit("ELEMENT_CAP"))
-    rows = features.join(refused.select(*key), key, "left_anti")
-    rows = rows.withColumn("_box", tiles.tile_box("z", "x", "y"))
+    rows = features.withColumn("_box", tiles.tile_box("z", "x", "y"))
     layer = F.array_position(F.array(*[F.lit(n) for n in LAYERS]), F.col("layer"))
     parts = rows.select(*key, layer.alias("l"), F.col(order).alias("o"), fragment().alias("hex"))
     joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("l", "o", "hex"))).alias("p"))
+    if answered is not None:
+        wanted = answered.select(*[F.col(n).cast(features.schema[n].dataType).alias(n) for n in key]).distinct()
+        none = joined.select(F.slice("p", 1, 0).alias("none")).schema["none"].dataType
+        joined = joined.join(wanted, key, "full_outer").withColumn("p", F.coalesce("p", F.array().cast(none)))
 
     def section(no):
         own = F.filter("p", lambda s: s["l"] == no)
@@ -88,7 +89,7 @@ def encode(features: DataFrame, order: str = "seq", cap: int = K.ELEMENT_CAP) ->
         _little(F.lit(K.TILE_MAGIC), 4), _byte(F.col("z")), _little("x", 4), _little("y", 4), _little(F.lit(K.TILE_EXTENT), 2)
     )
     blob = F.unhex(F.concat(head, *[section(i + 1) for i in range(len(LAYERS))]))
-    return joined.select(*key, blob.alias("content")), refused
+    return joined.select(*key, blob.alias("content"))
 
 
 class _Scan:

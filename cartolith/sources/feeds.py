@@ -12,8 +12,19 @@ EVENT = (
 
 
 def parse_events(lines: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """Text rows with a parsed ``event`` struct (null where the text is no JSON object)."""
-    parsed = F.from_json(F.col(value), EVENT, {"mode": "PERMISSIVE"})
+    """Text rows with a parsed ``event`` struct (null where the text is no JSON object).
+
+    A number, object or list where a text belongs is no text: such a field is null, and so are
+    ``tags`` that hold anything but lists of texts.
+    """
+    plain = F.from_json(F.col(value), EVENT, {"mode": "PERMISSIVE"})
+    typed = F.try_parse_json(F.col(value))
+    kind = lambda n: F.schema_of_variant(F.try_variant_get(typed, f"$.{n}", "variant"))
+    parsed = plain
+    for name in ("id", "pubkey", "content", "sig"):
+        parsed = parsed.withField(name, F.when(kind(name) == "STRING", plain[name]))
+    lists = kind("tags").isin("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>")
+    parsed = F.when(plain.isNotNull(), parsed.withField("tags", F.when(lists, plain["tags"])))
     return lines.select(*(keep or []), parsed.alias("event"))
 
 

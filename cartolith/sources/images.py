@@ -18,12 +18,19 @@ _PLACE = r"([0-9]+)/([0-9]+)/([0-9]+)\.[a-zA-Z]+$"
 
 
 def read_tiles(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded tiles: z, x, y, width, height, channels and packed bytes."""
-    img = spark.read.format("image").option("dropInvalid", True).load(f"{root}/*/*/*")
+    """Decoded tiles: z, x, y, width, height, channels and packed bytes.
+
+    A picture that cannot be read stays as a row with ``code`` UNREADABLE and nulls, so that
+    nothing takes its pixels for heights.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(f"{root}/*/*/*")
+    good = F.col("image.width") > 0
     part = lambda i: F.regexp_extract("image.origin", _PLACE, i).cast("bigint")
     return img.select(
-        part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
+        part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), *[
+            F.when(good, F.col(f"image.{field}")).alias(name)
+            for name, field in (("width", "width"), ("height", "height"), ("channels", "nChannels"), ("data", "data"))
+        ], F.when(~F.coalesce(good, F.lit(False)), "UNREADABLE").alias("code"),
     )
 
 

@@ -62,18 +62,24 @@ def live_heads(events: DataFrame, keys: list[str]) -> DataFrame:
     return feed.heads(good, keys)
 
 
-def live_presences(events: DataFrame) -> DataFrame:
-    """Newest status event per author; turn rows into presences with :func:`presences`."""
-    return live_heads(events.where(F.col("kind") == K.KIND_STATUS), ["pubkey"])
+def live_presences(events: DataFrame, topic: str | None = None) -> DataFrame:
+    """Newest status event of the topic per author; turn rows into presences with :func:`presences`."""
+    return live_heads(feed.on_topic(events.where(F.col("kind") == K.KIND_STATUS), topic), ["pubkey"])
 
 
 def presences(heads: DataFrame) -> DataFrame:
     return feed.newest_presences(heads)
 
 
-def live_notes(events: DataFrame) -> DataFrame:
-    """Notes of the shown kinds, one row per id within the 48 hours a note stays fresh."""
-    good, _ = feed.split_integrity(events.where(F.col("kind").isin(*K.NOTE_KINDS)))
+def live_notes(events: DataFrame, now: int | None = None, tolerance_s: int = 900) -> DataFrame:
+    """Notes of the shown kinds, one row per id within the 48 hours a note stays fresh.
+
+    Notes dated more than ``tolerance_s`` after ``now`` (the batch's time by default) are refused
+    before the watermark, which would otherwise follow them and drop every honest note.
+    """
+    latest = F.unix_timestamp(F.current_timestamp()) if now is None else F.lit(now)
+    timely = events.where(F.col("kind").isin(*K.NOTE_KINDS) & (F.col("created_at") <= latest + tolerance_s))
+    good, _ = feed.split_integrity(timely)
     timed = good.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", "48 hours")
     return timed.dropDuplicatesWithinWatermark(["id"])
 

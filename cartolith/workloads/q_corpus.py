@@ -151,10 +151,10 @@ def _(v):
 @query("k06_ingest_records", """
 SELECT sha256, bytes AS size, CASE kind WHEN 'dem' THEN 'image/png' WHEN 'ortho' THEN 'image/jpeg' ELSE 'application/vnd.feature-tile' END AS media_type,
   concat('crawler:', region, ':', kind) AS owner, updated_at AS uploaded_at, round(x / 8192e0 * 360e0 - 180e0, 6) AS west,
-  round(degrees(atan(sinh(pi() * (1e0 - 2e0 * y / 8192e0)))), 6) AS north, z AS tile_z, x AS tile_x, y AS tile_y
-FROM v_items WHERE status = 'done' AND y < 8192""", "v_items")
+  round(degrees(atan(sinh(pi() * (1e0 - 2e0 * (y % 8192) / 8192e0)))), 6) AS north, z AS tile_z, x AS tile_x, y % 8192 AS tile_y
+FROM v_items WHERE status = 'done'""", "v_items")
 def _(v):
-    done = v.v_items.where("status = 'done' AND y < 8192").withColumnRenamed("bytes", "size")
+    done = v.v_items.where("status = 'done'").withColumn("y", F.col("y") % 8192).withColumnRenamed("bytes", "size")
     out = corpus.ingest_records(done, F.col("updated_at"))
     return out.select(
         "sha256", "size", "media_type", "owner", "uploaded_at", F.round("west", 6).alias("west"),

@@ -372,10 +372,16 @@ def _(v):
     return feed.heads(v.v_feed, ["kind", "pubkey", "slot"]).select("kind", "pubkey", "slot", "event_id")
 
 
+_TOPICS = _SERIAL.replace("""substr(h, 1, 4), '"]],"'""", """substr(h, 1, 4), '"],["t","', CASE WHEN slot > 0 OR created_at % 2 = 0 THEN 'here' ELSE 'elsewhere' END, '"]],"'""").replace(
+    "SELECT *, sha256(text) AS true_id", "SELECT *, created_at % 2 = 0 AS owner_topic, sha256(text) AS true_id")
+
+
 @query("f07_newest_status", f"""
-WITH {_SERIAL} SELECT pubkey, name, message, created_at FROM (SELECT pubkey, name, slot, content AS message, created_at, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, true_id) AS rn FROM good WHERE kind = 30315) f WHERE rn = 1 AND slot > 0""", "v_feed")
+WITH {_TOPICS} SELECT pubkey, name, message, created_at FROM (SELECT pubkey, name, slot, content AS message, created_at, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, true_id) AS rn FROM good WHERE kind = 30315 AND (slot > 0 OR owner_topic)) f WHERE rn = 1 AND slot > 0""", "v_feed")
 def _(v):
-    good, _bad = feed.split_integrity(_stored(v))
+    """A newer status without the topic does not hide a presence."""
+    topic = events.tag("t", F.when((F.col("slot") > 0) | (F.col("created_at") % 2 == 0), "here").otherwise("elsewhere"))
+    good, _bad = feed.split_integrity(feed.on_topic(_tagged(v, topic).where(F.col("kind") == 30315), "here"))
     return feed.newest_presences(good).select("pubkey", "name", "message", "created_at")
 
 
@@ -407,12 +413,12 @@ def _(v):
 
 
 @query("d10_announce_done", """
-SELECT region, kind, x, y, concat(kind, ':13/', CAST(x AS VARCHAR), '/', CAST(y AS VARCHAR)) AS d, strftime(make_timestamp(updated_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS acquired,
+SELECT region, kind, x, y % 8192 AS y, concat(kind, ':13/', CAST(x AS VARCHAR), '/', CAST(y % 8192 AS VARCHAR)) AS d, strftime(make_timestamp(updated_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS acquired,
  CASE region WHEN 'madeira' THEN '-17.32' WHEN 'south-tyrol' THEN '10.38' WHEN 'vienna' THEN '16.18' ELSE '-25' END AS west
-FROM v_items WHERE status = 'done' AND sha256 IS NOT NULL AND kind <> 'ortho' AND y < 8192""", "v_items")
+FROM v_items WHERE status = 'done' AND sha256 IS NOT NULL AND kind <> 'ortho'""", "v_items")
 def _(v):
-    ready, _refused = corpus.announceable(v.v_items)
-    out = announce.assemble(ready, "https://h/", "ab" * 32, 1800000000).where("item.event IS NOT NULL")
+    ready, _refused = corpus.announceable(v.v_items.withColumn("y", F.col("y") % 8192))
+    out = announce.assemble(ready, "https://h/", "ab" * 32, 1800000000).where("kind <> 'ortho'")
     item, coll = F.col("item.event"), F.col("collection.event")
     return out.select(
         "region", "kind", "x", "y", events.tag_value(item["tags"], "d").alias("d"),

@@ -289,7 +289,7 @@ s AS (SELECT x, y, sum(steps + 2) AS body, count(*) FILTER (c % 3 = 0) AS b, cou
 SELECT CAST(14 AS BIGINT) AS z, x, y, CAST(15 + body + {_LEN('b')} + {_LEN('r')} + {_LEN('l')} AS BIGINT) AS size FROM s""", "v_lines")
 def _(v):
     """Blob sizes per tile: header, layer counts and one varint per step."""
-    blobs, _refused = feature_tiles.encode(_tile_rows(v))
+    blobs = feature_tiles.encode(_tile_rows(v))
     return blobs.select("z", "x", "y", F.octet_length("content").cast("bigint").alias("size"))
 
 
@@ -299,7 +299,7 @@ WITH {_IN_TILE} SELECT x, y, CASE class_no % 3 WHEN 0 THEN 'building' WHEN 1 THE
  count(*) AS vertices, round(sum(west + qx / 4096e0 * (east - west)), 6) AS sum_lon, round(sum(north - qy / 4096e0 * (north - south)), 6) AS sum_lat FROM q GROUP BY feature, x, y, class_no""", "v_lines")
 def _(v):
     """Tiles written and scanned back: every feature with its restored vertices."""
-    blobs, _refused = feature_tiles.encode(_tile_rows(v))
+    blobs = feature_tiles.encode(_tile_rows(v))
     out = feature_tiles.decode(blobs)
     total = lambda f: F.round(F.aggregate("line", F.lit(0.0), lambda a, p: a + p[f]), 6)
     return out.select("x", "y", "layer", "class", "height_m", F.size("line").cast("bigint").alias("vertices"), total("lon").alias("sum_lon"), total("lat").alias("sum_lat"))

@@ -185,8 +185,10 @@ def _(v):
     """Detail score of grey pictures made of the documents' bytes, 64 pixels wide."""
     data = F.encode("text", "UTF-8")
     rows = F.floor(F.octet_length(data) / 64).cast("int")
-    pics = v.documents.select("doc_id", data.alias("data"), rows.alias("height")).where("height > 0")
-    return pics.select("doc_id", images.image_detail("height", F.lit(64), F.lit(1), "data").alias("detail"))
+    pics = v.documents.select("doc_id", data.alias("data"), rows.alias("height"))
+    # A picture without a full line has no detail.
+    tall = pics.where("height > 0").select("doc_id", images.image_detail("height", F.lit(64), F.lit(1), "data").alias("detail"))
+    return tall.unionByName(pics.where("height <= 0 OR height IS NULL").select("doc_id", F.lit(0.0).alias("detail")))
 
 
 @query("a18_storage_inventory")

@@ -54,15 +54,43 @@ def test_point_in_polygon_with_hole(spark):
     assert [r["id"] for r in spatial.points_in_polygons(pts, shapes).collect()] == [2]
 
 
-def test_quantiles_of_hot_keys(spark):
+def test_quantiles_equal_percentile_bit_for_bit(spark):
     rows = [("hot", rnd.choice([1e6, rnd.gauss(0, 1), 3.0])) for _ in range(3000)] + [(f"k{i % 7}", float(i)) for i in range(100)]
+    rows += [("near", 1000 + rnd.random() / 1000) for _ in range(500)] + [("huge", x) for x in (-1.7e308, 1.7e308, 5e-324, 0.0, -0.0, None)]
+    rows += [("one", 4.0), ("same", 2.5), ("same", 2.5), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = exact_quantiles(df, ["k"], "v", {"lo": 0.02, "mid": 0.5, "hi": 0.98}, small_group=200)
-    by_key = {r["k"]: r for r in got.collect()}
-    for key in {r[0] for r in rows}:
-        values = [v for k, v in rows if k == key]
-        for name, q in (("lo", 2), ("mid", 50), ("hi", 98)):
-            assert by_key[key][name] == pytest.approx(np.percentile(values, q), rel=1e-12)
+    fractions = {f"q{k}": k / 100 for k in range(0, 101, 2)}
+    want = df.where("v IS NOT NULL").groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in fractions.items()])
+    assert sorted(map(tuple, exact_quantiles(df, ["k"], "v", fractions).collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="v is not finite"):
+        exact_quantiles(spark.createDataFrame([("a", 1.0), ("a", float("inf"))], "k string, v double"), ["k"], "v", {"m": 0.5}).collect()
+
+
+def test_outcomes_of_one_key_count_as_attempts_once(spark):
+    items = spark.createDataFrame([("r", "dem", 1, 2, 3, "pending", 0, None, None, None, 0)], "region string, kind string, z bigint, x bigint, y bigint, status string, attempts int, last_error string, sha256 string, bytes bigint, updated_at bigint")
+    results = spark.createDataFrame(
+        [("r", "dem", 1, 2, 3, "late", None, None, 5), ("r", "dem", 1, 2, 3, None, "ab", 7, 9), ("r", "dem", 1, 2, 3, "x", None, None, 8)],
+        "region string, kind string, z bigint, x bigint, y bigint, r_error string, r_sha256 string, r_bytes bigint, r_at bigint",
+    )
+    (row,) = corpus.apply_results(items, results).collect()
+    assert (row.status, row.attempts, row.sha256, row.updated_at) == ("done", 3, "ab", 9)
+
+
+def test_event_texts_must_be_texts(spark):
+    from cartolith.sources import feeds
+
+    good = '{"id":"a","pubkey":"b","kind":1,"created_at":5,"content":"c","sig":"d","tags":[["g","u"],[]]}'
+    odd = [good.replace('"c"', "7"), good.replace('"a"', "12"), good.replace('"b"', '{"x":1}'), good.replace('"u"', "5")]
+    lines = spark.createDataFrame([(x,) for x in [good, *odd]], "value string")
+    assert feeds.event_columns(feeds.parse_events(lines)).count() == 1
+
+
+def test_topic_is_tested_before_the_newest_status(spark):
+    from cartolith.operators import feed
+
+    rows = [("p", 100, "1", [["t", "here"]]), ("p", 200, "2", [["t", "there"]])]
+    df = spark.createDataFrame(rows, "pubkey string, created_at bigint, id string, tags array<array<string>>")
+    assert [r.id for r in feed.heads(feed.on_topic(df, "here"), ["pubkey"]).collect()] == ["1"]
 
 
 def test_running_values_and_neighbours_by_block(spark):
@@ -176,12 +204,14 @@ def test_golden_feature_tile(spark):
     assert rows.where("error IS NOT NULL").count() == 1
     assert {(r["layer"], r["n"]) for r in good.groupBy("layer").agg(F.count("*").alias("n")).collect()} == {("building", 2), ("road", 2), ("landuse", 2)}
     assert sorted(r["height_m"] for r in good.where("layer = 'building'").collect()) == [5.0, 12.7]
-    blobs, refused = feature_tiles.encode(good)
+    blobs = feature_tiles.encode(good)
     row = blobs.first()
     assert (row["z"], row["x"], row["y"]) == (14, 8698, 5915) and bytes(row["content"]).hex() == GOLDEN
-    assert refused.count() == 0
-    _, refused = feature_tiles.encode(good, cap=6)
-    assert refused.first()["code"] == "ELEMENT_CAP"
+    asked = spark.createDataFrame([(14, 8698, 5915), (14, 1, 2)], "z bigint, x bigint, y bigint")
+    both = {(r["x"], r["y"]): bytes(r["content"]) for r in feature_tiles.encode(good, answered=asked).collect()}
+    assert both[8698, 5915].hex() == GOLDEN and both[1, 2].hex().endswith("000000") and len(both) == 2
+    many = good.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4000)))).drop("copy")  # beyond the cap of an answer
+    assert feature_tiles.decode(feature_tiles.encode(many)).count() == 24_000
 
 
 # --- radio logs -----------------------------------------------------------------------------------------
