@@ -34,6 +34,8 @@ from cartolith.session import cut_lineage
 #: Pieces that one block is meant to hold.
 BLOCK_PIECES = 20_000
 PLAIN = re.compile("[\\t-\\r\\x20-\\x7e\\xa1-\u024f]*")
+#: White space that the rank tokenizer's pattern would walk back over; runs of about a million end it.
+WIDE = re.compile("[\\t-\\r\\x20]{1000}")
 
 
 class Encoder:
@@ -41,7 +43,7 @@ class Encoder:
 
     ``ranks`` may name the same vocabulary as a rank file of ``tiktoken``, which encodes about three times as fast.
     It is used for texts of Latin letters, digits, signs and plain white space, where both libraries split alike;
-    all other texts, and all texts without ``ranks``, go to ``tokenizers``.
+    all other texts, those with very long runs of white space, and all texts without ``ranks``, go to ``tokenizers``.
     """
 
     def __init__(self, path: str, ranks: str | None = None, closing: int = 0):
@@ -58,7 +60,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and PLAIN.fullmatch(text):
+        if self.fast and PLAIN.fullmatch(text) and not WIDE.search(text):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
