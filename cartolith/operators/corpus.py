@@ -29,9 +29,18 @@ def content_key(content) -> Column:
     return F.sha2(c(content).cast("binary"), 256)
 
 
-def new_blobs(payloads: DataFrame, stored: DataFrame, content: str = "content", first_by: str = "uploaded_at"):
-    """Payloads whose bytes are not stored yet, one row per hash (the earliest)."""
+def new_blobs(payloads: DataFrame, stored: DataFrame, content: str = "content", first_by: str = "uploaded_at",
+              key: list[str] | None = None):
+    """Payloads whose bytes are not stored yet, one row per hash (the earliest).
+
+    ``key`` names columns that tell the payloads apart. With it the choice is made on hashes and
+    keys alone, and no bytes pass through an aggregate or a sort; without it they must.
+    """
     hashed = payloads.drop("sha256").withColumn("sha256", content_key(content))
+    if key:
+        named = hashed.select("sha256", F.struct(first_by, *key).alias("_first"))
+        chosen = named.join(stored.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(F.min("_first").alias("_first"))
+        return hashed.join(chosen.select("sha256", *[F.col(f"_first.{n}").alias(n) for n in key]), ["sha256", *key], "left_semi")
     fresh = hashed.join(stored.select("sha256"), "sha256", "left_anti")
     others = [F.col(n) for n in fresh.columns if n != "sha256"]
     kept = fresh.groupBy("sha256").agg(F.min_by(F.struct(*others), F.col(first_by)).alias("_row"))

@@ -256,7 +256,7 @@ def cell_filter(feed: DataFrame, lat, lon, precision: int = 4) -> DataFrame:
 def box_filter(views: DataFrame, feed: DataFrame, precision: int = 4, max_cells: int = K.MAX_COVER_CELLS):
     """(matches, too-wide views) of announcements tagged with any cell of a box."""
     n = geohash.cover_count(*boxes.EDGES, precision)
-    cells = generate.box_cells(views.where(n <= max_cells), precision).select("view_id", F.col("cell").alias("_wanted"))
+    cells = generate.box_cells(views.where(n <= max_cells), precision, spread=0).select("view_id", F.col("cell").alias("_wanted"))
     tagged = feed.where(F.col("kind") == K.KIND_FILE).withColumn(
         "_cell", F.explode(F.array_distinct(events.tag_values("tags", "g")))
     )

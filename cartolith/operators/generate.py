@@ -1,8 +1,10 @@
 """Row generators: tiles and cells of boxes, work items, grid points, triangles, dots.
 
 Every generator explodes ranges inside the executors. A continental box is one input row
-that stands for billions of tiles, so ranges are cut into blocks first and the blocks can
-be spread over the cluster before the inner explode.
+that stands for billions of tiles, so ranges are cut into blocks first and the blocks are
+dealt over the cluster before the inner explode. ``spread`` is the number of tasks they
+are dealt to (by default four for every core); 0 leaves rows where they are, for boxes
+that are known to be small.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from cartolith import constants as K
 from cartolith.functions import geohash, tiles
 
-BLOCK = 1024
+#: Tiles along each side of a block, which one task expands.
+BLOCK = 256
 
 
 def _blocks(lo: Column, hi: Column) -> Column:
@@ -27,8 +30,9 @@ def _grid_rows(df: DataFrame, x0, x1, y0, y1, names: tuple[str, str], spread: in
     out = df.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1})
     out = out.withColumn("_bx", F.explode(_blocks(F.col("_x0"), F.col("_x1"))))
     out = out.withColumn("_by", F.explode(_blocks(F.col("_y0"), F.col("_y1"))))
-    if spread:
-        out = out.repartition(spread, "_bx", "_by")
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism if spread is None else spread
+    if tasks:
+        out = out.repartition(tasks)
     last_x = F.least(F.col("_bx") + (BLOCK - 1), F.col("_x1"))
     last_y = F.least(F.col("_by") + (BLOCK - 1), F.col("_y1"))
     out = out.withColumn(a, F.explode(F.sequence(F.col("_bx"), last_x)))

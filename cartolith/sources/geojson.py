@@ -2,7 +2,7 @@
 
 Features are written one per line, so a survey of any size is written by many tasks and
 read back without one process holding the collection. Collections in one JSON document
-are read with :func:`read_collection`.
+are read with :func:`read_collection`, one document by one task.
 """
 
 from __future__ import annotations
@@ -51,14 +51,16 @@ def survey_stats(features: DataFrame) -> DataFrame:
     )
 
 
-def read_countries(spark: SparkSession, path: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features as a variant column ``f``: of whole documents, or with ``lines`` one per line, read by many tasks."""
+    docs = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("f"))
+    return docs if lines else docs.select(F.explode(F.variant_get("f", "$.features", "array<variant>")).alias("f"))
+
+
+def read_countries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Country polygons; a Polygon is read as a MultiPolygon of one."""
     # Two property spellings differ only in case, so properties are read from a variant.
-    docs = spark.read.text(path, wholetext=True)
-    parsed = docs.select(F.parse_json("value").alias("v"))
-    rows = parsed.select(
-        F.explode(F.variant_get("v", "$.features", "array<variant>")).alias("f")
-    )
+    rows = read_features(spark, path, lines)
     kind = F.variant_get("f", "$.geometry.type", "string")
     one = F.try_variant_get("f", "$.geometry.coordinates", "array<array<array<double>>>")
     many = F.try_variant_get("f", "$.geometry.coordinates", "array<array<array<array<double>>>>")
@@ -76,10 +78,9 @@ def country_rings(countries: DataFrame) -> DataFrame:
     return countries.select("name", F.explode("polygons").alias("rings"))
 
 
-def read_city_parts(spark: SparkSession, path: str) -> DataFrame:
+def read_city_parts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Measured building parts: outer rings with the height between roof and ground."""
-    docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    return city_parts(docs.select(F.explode(F.variant_get("v", "$.features", "array<variant>")).alias("f")))
+    return city_parts(read_features(spark, path, lines))
 
 
 def city_parts(features: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ SELECT sha256, min(doc_id) AS doc_id, substr(sha256, 1, 2) AS shard, concat(subs
 FROM v_blobs WHERE sha256 NOT IN (SELECT b.sha256 FROM v_blobs b JOIN labels l ON l.doc_id = b.doc_id) GROUP BY sha256""", "v_blobs")
 def _(v):
     stored = v.v_blobs.join(v.labels, "doc_id").select("sha256")
-    fresh = corpus.new_blobs(v.v_blobs, stored)
+    fresh = corpus.new_blobs(v.v_blobs, stored, key=["doc_id"])
     return fresh.select("sha256", "doc_id", corpus.shard().alias("shard"), corpus.blob_path().alias("path"))
 
 

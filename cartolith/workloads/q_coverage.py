@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cartolith.functions import boxes, gates, tiles
 from cartolith.operators import coverage
-from cartolith.session import work_dir
+from cartolith.session import cut_lineage, work_dir
 from cartolith.sources import geojson
 from cartolith.workloads import duck
 from cartolith.workloads.registry import query
@@ -112,11 +113,40 @@ def _(v):
     return baked.select(F.col("properties.tile").alias("tile"), corner[0].alias("west"), corner[1].alias("south"))
 
 
-@query("e32_stats_per_file")
+@query("e32_stats_per_file", f"""
+WITH {_SURVEY} SELECT concat('survey-', CAST(x % 3 AS VARCHAR)) AS file, count(*) AS cells, count(*) FILTER (status = 'covered') AS covered,
+  count(*) FILTER (status = 'gap') AS gaps, count(*) FILTER (status = 'sea') AS sea FROM boxed GROUP BY 1""", "v_probe")
 def _(v):
-    """Counts per written survey file."""
-    features = _written(v)[0].withColumn("file", F.col("_metadata.file_name"))
-    return geojson.survey_stats(features)
+    """Counts per written survey; each takes every third column of tiles."""
+    path, cells = work_dir(v.spark, "surveys"), _cells(v)
+    for k in range(3):
+        part = cells.where(F.col("x") % 3 == k)
+        geojson.write_survey(part, coverage.header(part, "fixture", 7), f"{path}/survey-{k}")
+    features = v.spark.read.schema(geojson.POLYGON).json(f"{path}/*/features")
+    return geojson.survey_stats(features.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "(survey-[0-9]+)/features", 1)))
+
+
+@query("j05_observed_counts", f"""
+WITH {_SURVEY} SELECT count(*) AS cells, count(*) FILTER (covered) AS covered, count(*) FILTER (status = 'gap') AS gaps FROM boxed""", "v_probe")
+def _(v):
+    """Counts gathered while the survey is written, with no pass of their own."""
+    seen = Observation("survey")
+    cut_lineage(coverage.observe_cells(_cells(v), seen), "observed")
+    names = ("cells", "covered", "gaps")
+    return v.spark.createDataFrame([tuple(seen.get[n] for n in names)], "cells bigint, covered bigint, gaps bigint")
+
+
+@query("a06_countries", "SELECT name, CAST(len(ring) AS BIGINT) AS n_points, round(ring[1].lon, 6) AS lon, round(ring[1].lat, 6) AS lat FROM v_polys", "v_polys")
+def _(v):
+    """Polygons written as one GeoJSON feature a line and read back as countries."""
+    shape = F.array(F.transform("ring", lambda p: F.array(p["lon"], p["lat"])))
+    geometry = F.struct(F.lit("Polygon").alias("type"), shape.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.col("name").alias("NAME")).alias("properties"))
+    path = work_dir(v.spark, "country-lines")
+    v.v_polys.select(F.to_json(feature).alias("value")).write.text(path)
+    ring = F.col("rings")[0]
+    rows = geojson.country_rings(geojson.read_countries(v.spark, path, lines=True))
+    return rows.select("name", F.size(ring).cast("bigint").alias("n_points"), F.round(ring[0]["lon"], 6).alias("lon"), F.round(ring[0]["lat"], 6).alias("lat"))
 
 
 _COUNTRY = f"""WITH {_SURVEY}, land AS (SELECT (west + east) / 2e0 AS lon, (south + north) / 2e0 AS lat, status = 'gap' AS gap FROM boxed WHERE status IN ('covered', 'gap')),
