@@ -157,28 +157,38 @@ def on_topic(feed: DataFrame, topic: str | None) -> DataFrame:
     return feed.where(F.coalesce(F.array_contains(events.tag_values("tags", "t"), topic), F.lit(False)))
 
 
-def newest_presences(feed: DataFrame, topic: str | None = None) -> DataFrame:
+def in_view(rows: DataFrame, view: tuple | None) -> DataFrame:
+    """Rows whose ``lon`` and ``lat`` lie in a view (west, south, east, north); all rows for no view.
+
+    The view may cross the 180th meridian.
+    """
+    if view is None:
+        return rows
+    return rows.where(boxes.in_segments(boxes.view_segments(*[F.lit(float(edge)) for edge in view]), "lon", "lat"))
+
+
+def newest_presences(feed: DataFrame, topic: str | None = None, view: tuple | None = None) -> DataFrame:
     """Newest status per author among those of the topic, then its presence fields where it has them.
 
     The topic is tested before the newest one is taken, so another status of the author hides
-    nothing.
+    nothing. The view is tested after: an author who has left it isn't shown at an older place.
     """
     status = heads(on_topic(feed.where(F.col("kind") == K.KIND_STATUS), topic), ["pubkey"])
     rows = status.withColumn("_p", events.presence("pubkey", "created_at", "content", "tags"))
-    return rows.where(F.col("_p").isNotNull()).select("_p.*")
+    return in_view(rows.where(F.col("_p").isNotNull()).select("_p.*"), view)
 
 
-def fresh_notes(feed: DataFrame, now: int) -> DataFrame:
-    """Notes of the shown kinds from the last 48 hours, one row per id, with a position."""
+def fresh_notes(feed: DataFrame, now: int, view: tuple | None = None) -> DataFrame:
+    """Notes of the shown kinds from the last 48 hours, one row per id, with a position (in ``view``)."""
     rows = feed.where(F.col("kind").isin(*K.NOTE_KINDS) & (F.col("created_at") >= now - K.NOTE_MAX_AGE_S))
     rows = rows.dropDuplicates(["id"])
     spot = geohash.decode(geohash.deepest(events.tag_values("tags", "g")))
     text = F.when(F.col("kind") == K.KIND_MEETUP, events.meetup_label("tags")).otherwise(F.col("content"))
     rows = rows.withColumn("_spot", spot).where(F.col("_spot").isNotNull())
-    return rows.select(
+    return in_view(rows.select(
         "id", "pubkey", text.alias("content"), F.col("_spot.lon").alias("lon"),
         F.col("_spot.lat").alias("lat"), "created_at",
-    )
+    ), view)
 
 
 def union_relays(*answers: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def live_presences(events: DataFrame, topic: str | None = None) -> DataFrame:
     return live_heads(feed.on_topic(events.where(F.col("kind") == K.KIND_STATUS), topic), ["pubkey"])
 
 
-def presences(heads: DataFrame) -> DataFrame:
-    return feed.newest_presences(heads)
+def presences(heads: DataFrame, view: tuple | None = None) -> DataFrame:
+    return feed.newest_presences(heads, view=view)
 
 
 def live_notes(events: DataFrame, now: int | None = None, tolerance_s: int = 900) -> DataFrame:

@@ -354,6 +354,21 @@ def _(v):
     return rows.join(table.select("id", "event_id", "kind"), "id").select("event_id", "kind")
 
 
+#: West, south, east and north of a view; no position lies on an edge.
+_VIEW = (-5.0000003, -20.0000003, 200.0000003, 60.0000003)
+_SPOT = f"""SELECT *, ({duck.lon_ix('lon', 6)} + 0.5e0) * 360e0 / 32768 - 180e0 AS spot_lon, ({duck.lat_iy('lat', 6)} + 0.5e0) * 180e0 / 32768 - 90e0 AS spot_lat FROM good"""
+_SEEN = "{lat} BETWEEN -20.0000003 AND 60.0000003 AND ({lon} >= -5.0000003 OR {lon} <= -159.9999997)"
+
+
+@query("c10_notes_in_view", f"""
+WITH {_SERIAL} SELECT event_id, kind FROM ({_SPOT}) s WHERE kind IN (1, 1063, 31923) AND created_at >= {_NOW} - 172800 AND {_SEEN.format(lon='spot_lon', lat='spot_lat')}""", "v_feed")
+def _(v):
+    """Fresh notes in a view that crosses the 180th meridian."""
+    table = _stored(v)
+    rows = feed.fresh_notes(table.where("content <> 'error'"), _NOW, _VIEW)
+    return rows.join(table.select("id", "event_id", "kind"), "id").select("event_id", "kind")
+
+
 @query("g04_notes_newest_first", f"""
 WITH {_SERIAL} SELECT event_id, CASE WHEN kind = 31923 THEN concat('📅 ', content, ' ', strftime(make_timestamp(created_at * 1000000), '%H:%M')) ELSE content END AS content
 FROM good WHERE kind IN (1, 1063, 31923) AND created_at >= {_NOW} - 172800 ORDER BY created_at DESC, true_id LIMIT 100""", "v_feed")
@@ -385,6 +400,15 @@ def _(v):
     return feed.newest_presences(good).select("pubkey", "name", "message", "created_at")
 
 
+@query("f07_presences_in_view", f"""
+WITH {_SERIAL} SELECT pubkey, name, created_at FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, true_id) AS rn FROM good WHERE kind = 30315) f
+WHERE rn = 1 AND slot > 0 AND {_SEEN.format(lon='lon', lat='lat')}""", "v_feed")
+def _(v):
+    """Authors whose newest status lies in the view."""
+    good, _bad = feed.split_integrity(_tagged(v).where(F.col("kind") == 30315))
+    return feed.newest_presences(good, view=_VIEW).select("pubkey", "name", "created_at")
+
+
 @query("f08_publish_clock", """
 SELECT event_id, CAST(rn + max(created_at - rn) OVER (PARTITION BY pubkey, slot ORDER BY rn) AS BIGINT) AS published FROM
 (SELECT *, row_number() OVER (PARTITION BY pubkey, slot ORDER BY created_at, id) AS rn FROM v_feed) f""", "v_feed")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartolith.functions import boxes, gates, tiles
-from cartolith.operators import generate, raster
+from cartolith.operators import corpus, generate, raster
+from cartolith.session import work_dir
 from cartolith.sources import images
 from cartolith.workloads.registry import query
 
@@ -191,9 +192,11 @@ def _(v):
     return tall.unionByName(pics.where("height <= 0 OR height IS NULL").select("doc_id", F.lit(0.0).alias("detail")))
 
 
-@query("a18_storage_inventory")
+@query("a18_storage_inventory", "SELECT DISTINCT substr(sha256, 1, 2) AS shard, true AS has_files, true AS has_bytes FROM v_blobs WHERE sha256 IS NOT NULL", "v_blobs")
 def _(v):
-    """Files and bytes per table of the input folder, without reading contents."""
-    files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(v.sf_dir).select("path", "length")
-    name = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
-    return files.groupBy(name.alias("name")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    """Files and bytes per folder of a blob store written by this job, listed without reading contents."""
+    path = work_dir(v.spark, "store")
+    corpus.write_blobs(v.v_blobs.where("sha256 IS NOT NULL").select("sha256", "content").dropDuplicates(["sha256"]), path)
+    files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    held = files.groupBy(F.regexp_extract("path", "shard=([0-9a-f]+)", 1).alias("shard")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return held.select("shard", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
