@@ -25,6 +25,8 @@ from cartolith.llm.ftrl import Ftrl, epochs, fold, per_class_sample, sigmoid
 
 BITS, STEMS, PAIR_VALUE = 20, (4, 5, 6), 0.2
 PER_CLASS = 4000
+#: L1 penalty for each root of the number of examples of the rarer class; rounds over the examples.
+L1, ROUNDS = 0.75, 6
 FOLDS, HELD_OUT = 5, 0
 _PAIR, _SKIP, _STEM = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -87,8 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     order = np.lexsort((found.column("label").to_numpy(), found.column("doc_id").to_numpy()))
     at, label = found.column("at").combine_chunks(), found.column("label").to_pylist()
     examples = [(at[int(k)].values.to_numpy(), label[int(k)]) for k in order]
-    model = Ftrl(1 << BITS, 1, alpha=1.0, l1=6.0, l2=0.1)
-    for index, target in epochs(examples, 4):
+    # The sum of gradients that a feature without meaning gathers grows with the root of the rarer class.
+    rare = min(sum(label), len(label) - sum(label))
+    model = Ftrl(1 << BITS, 1, alpha=1.0, l1=L1 * rare**0.5, l2=0.1)
+    for index, target in epochs(examples, ROUNDS):
         if len(index):
             # A bucket that a word and a pair share counts once for each, so its values are added first.
             at, back = np.unique(index >> 1, return_inverse=True)
