@@ -420,17 +420,17 @@ def _(v):
 
 
 @query("d02_footprint_self_overlap", """
-SELECT a.id AS id_a, b.id AS id_b FROM v_boxes a JOIN v_boxes b
-ON a.id < b.id AND a.west < b.east AND a.east > b.west AND a.south < b.north AND a.north > b.south""", "v_boxes")
+SELECT a.id AS id_a, count(*) AS n, min(b.id) AS first_id FROM v_boxes a JOIN v_boxes b
+ON a.id < b.id AND a.west < b.east AND a.east > b.west AND a.south < b.north AND a.north > b.south GROUP BY a.id""", "v_boxes")
 def _(v):
-    """Every overlapping pair of stored footprints: both sides large, many sizes."""
+    """Later footprints that overlap each stored footprint: both sides large, many sizes; pairs are only counted."""
     a = v.v_boxes.select(F.col("id").alias("id_a"), *[F.col(n).alias(f"a_{n}") for n in BOX])
     b = v.v_boxes.select(F.col("id").alias("id_b"), *[F.col(n).alias(f"b_{n}") for n in BOX])
     pairs = spatial.box_join(
         a, b, tuple(f"a_{n}" for n in BOX), tuple(f"b_{n}" for n in BOX), condition=F.col("id_a") < F.col("id_b"),
         hint="merge",
     )
-    return pairs.select("id_a", "id_b")
+    return pairs.groupBy("id_a").agg(F.count(F.lit(1)).alias("n"), F.min("id_b").alias("first_id"))
 
 
 @query("g03_newest_per_view", f"""
