@@ -43,14 +43,16 @@ class Encoder:
 
     ``ranks`` may name the same vocabulary as a rank file of ``tiktoken``, which encodes about three times as fast.
     It is used for texts of Latin letters, digits, signs and plain white space, where both libraries split alike;
-    all other texts, those with very long runs of white space, and all texts without ``ranks``, go to ``tokenizers``.
+    all other texts, those with very long runs of white space or the string of an added token (which is that token's
+    id), and all texts without ``ranks``, go to ``tokenizers``.
     """
 
     def __init__(self, path: str, ranks: str | None = None, closing: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.closing, self.fast = Tokenizer.from_file(path), closing, None
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -60,7 +62,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and PLAIN.fullmatch(text) and not WIDE.search(text):
+        if self.fast and PLAIN.fullmatch(text) and not WIDE.search(text) and not self.added.search(text):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids

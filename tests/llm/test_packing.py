@@ -46,6 +46,19 @@ def test_encoder_libraries_agree():
         assert list(plain.encode(text)) == list(fast.encode(text)), text[:20]
 
 
+def test_added_tokens_have_their_ids(spark):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "漢 <|endoftext|>", "<|endoftext|" + " " * 2000 + "<|endoftext|>", "<|ENDOFTEXT|> <| endoftext|>"]
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    for ranks in (None, tokenizer_path("byte_bpe_50k.tiktoken")):
+        encoder = packing.Encoder(tokenizer_path(), ranks)
+        assert [list(encoder.encode(t)) for t in texts] == ids
+        packed = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_path(), ranks)
+        want = {(k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+        assert {(r.doc_id, r.length, r.ids_crc32) for r in packed.collect()} == want
+
+
 @pytest.mark.parametrize("pieces", [0, 1, 40, 60_000])
 def test_configurations_cover_exactly(pieces):
     rng = np.random.default_rng(pieces)
