@@ -1,10 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Inverse document frequencies are counted over all training documents, summed per task and merged by bucket. Weights
-are trained with follow-the-regularised-leader under an elastic net on a bounded sample (`PER_LANGUAGE` documents
-of each of the `LANGUAGES` commonest languages, whole texts), and the temperature of the softmax is fitted on a fifth
-of it. Scoring adds one table row per n-gram and never needs a document's distinct n-grams, since term frequencies
-are relative to the text's length.
+are trained with follow-the-regularised-leader under an elastic net on a bounded sample (about `PER_LANGUAGE` documents
+of every language, whole texts), and the temperature of the softmax is fitted on a fifth of it. Scoring adds one table
+row per n-gram and never needs a document's distinct n-grams, since term frequencies are relative to the text's length.
+
+Up to `JOINT` languages share one softmax, trained on the driver. More are dealt into blocks of `BLOCK_LANGUAGES`, each
+trained by a task on its own documents and as many of the others, which are its class "other"; a language's score is its
+logit less that of its block's "other". The driver then gets the weights that are not zero and `CALIBRATED` documents.
 
 Nulls and odd rows: a null text and a text without a letter are ``und`` with score 0; rows with a null ``doc_id``
 or ``lang`` are scored but teach nothing; without any training row everything is ``und`` and `keep_known` keeps
@@ -13,6 +16,7 @@ what has a letter; repeated rows are scored each; an empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,11 @@ from cartolith.llm import hashed
 from cartolith.llm.ftrl import Ftrl, epochs, fold, per_class_sample, softmax
 
 ORDERS, BITS = (1, 2, 3), 17
-LANGUAGES, PER_LANGUAGE = 100, 1500
+PER_LANGUAGE = 1500
+#: Languages that one softmax holds at most; of a block beyond that; documents that the temperature is fitted on then.
+JOINT, BLOCK_LANGUAGES, CALIBRATED = 100, 16, 4000
+#: Scores, and weights to be added, that are held at a time.
+HELD = 1 << 22
 FOLDS, HELD_OUT = 4, 2
 #: Term frequencies are scaled to this length, so that common n-grams have values near one.
 SCALE = 30.0
@@ -33,20 +41,65 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
+class Blocks:
+    """Weights other than zero of the languages and of each block's class "other", by feature."""
+
+    def __init__(self, languages: int, columns: list[tuple[np.ndarray, np.ndarray]], block: np.ndarray):
+        # The first ``languages`` columns are languages, the others the classes "other" in the order of the blocks.
+        feature = np.concatenate([at for at, _ in columns]).astype(np.int64)
+        order = np.argsort(feature, kind="stable")
+        self.column = np.repeat(np.arange(len(columns), dtype=np.int32), [len(at) for at, _ in columns])[order]
+        self.weight = np.concatenate([w for _, w in columns])[order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(feature, minlength=1 << BITS))))
+        self.languages, self.width, self.block = languages, len(columns), block
+
+    def add(self, sums: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray | None = None) -> None:
+        """Add to ``sums`` (a row per text, a column per language and block) the weights of each (row, feature)."""
+        count = self.start[feature + 1] - self.start[feature]
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(feature):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HELD, "right")))
+            n = count[a:b]
+            at = np.repeat(self.start[feature[a:b]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            weight = self.weight[at] if value is None else self.weight[at] * np.repeat(value[a:b], n)
+            low = int(row[a:b].min())
+            high = int(row[a:b].max()) + 1
+            place = (np.repeat(row[a:b], n) - low) * self.width + self.column[at]
+            sums[low:high] += np.bincount(place, weight, (high - low) * self.width).reshape(-1, self.width)
+            a = b
+
+    def logits(self, sums: np.ndarray) -> np.ndarray:
+        return sums[:, : self.languages] - sums[:, self.languages + self.block]
+
+
 class Model:
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float):
+    """``table`` is a row of weights per language, or `Blocks`; then ``bias`` is less that of the block's "other"."""
+
+    def __init__(self, languages: list[str], table: np.ndarray | Blocks, bias: np.ndarray, temperature: float):
         self.languages, self.table, self.bias, self.temperature = languages, table, bias, temperature
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of each text's languages."""
-        total, sums = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        total, blocks = np.zeros(len(texts)), isinstance(self.table, Blocks)
+        sums = np.zeros((len(texts), self.table.width if blocks else len(self.languages)))
         for row, feature in hashed.char_grams(texts, ORDERS, BITS):
             total += np.bincount(row, minlength=len(texts))
+            if blocks:
+                self.table.add(sums, row, feature)
+                continue
             for k in range(len(self.languages)):
                 sums[:, k] += np.bincount(row, self.table[k][feature], len(texts))
+        sums = self.table.logits(sums) if blocks else sums
         return softmax((sums * SCALE / np.maximum(total, 1)[:, None] + self.bias) / self.temperature)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Best language and score of each text; a bounded number of scores is held at a time."""
+        step = max(1, HELD // max(1, len(self.languages)))
+        parts = [self._predict(texts[a : a + step]) for a in range(0, len(texts), step)]
+        return [x for found, _ in parts for x in found], np.concatenate([score for _, score in parts] or [np.zeros(0)])
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = np.array([bool(self.languages) and bool(t) and LETTER.search(t) is not None for t in texts], bool)
         if not known.any():
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -90,6 +143,70 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12))
+    return float(min(np.geomspace(0.05, 20, 121), key=loss)) if len(truth) else 1.0
+
+
+def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: np.ndarray) -> Model:
+    """Blocks of languages trained by the executors; ``expected`` is about the number of rows of ``sample``."""
+    n_blocks = -(-len(languages) // BLOCK_LANGUAGES)
+    block = np.arange(len(languages)) % n_blocks
+    number = {x: k for k, x in enumerate(languages)}
+    shared = sample.sparkSession.sparkContext.broadcast((number, idf))
+    # Documents for the temperature teach nothing.
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("temperature")), F.lit(1 << 30)) < int(min(0.2, CALIBRATED / max(1, expected)) * (1 << 30))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every document for its own block, and for another one as a document of no language of that block."""
+        for batch in _vectors(batches):
+            ids = batch.column("doc_id").to_pylist()
+            own = np.array([shared.value[0][x] for x in batch.column("lang").to_pylist()], np.int64)
+            other = np.array([zlib.crc32(b"%d" % i) for i in ids], np.int64) % (n_blocks - 1)
+            n = len(ids)
+            twice = pa.array(np.tile(np.arange(n), 2))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own % n_blocks, (own + 1 + other) % n_blocks])), pa.array(np.concatenate([own // n_blocks, np.full(n, -1)])),
+                    *(batch.column(c).take(twice) for c in ("doc_id", "at", "tf")),
+                ],
+                ["block", "target", "doc_id", "at", "tf"],
+            )
+
+    def fitted(group: pa.Table) -> pa.Table:
+        k = group.column("block")[0].as_py()
+        members = np.flatnonzero(block == k)
+        model = Ftrl(1 << BITS, len(members) + 1, alpha=0.3, l1=0.02, l2=0.01)
+        eye, target, at, tf = np.eye(len(members) + 1), group.column("target").to_numpy(), group.column("at"), group.column("tf")
+        order = np.lexsort((target, group.column("doc_id").to_numpy()))
+        for i in epochs(order, 2):
+            features = at[int(i)].values.to_numpy()
+            model.step(features, tf[int(i)].values.to_numpy() * shared.value[1][features] * SCALE, eye[target[i]], softmax)
+        weights = model.weights().T
+        found = [np.flatnonzero(w) for w in weights]
+        columns = [*members.tolist(), len(languages) + k]
+        return pa.table({
+            "column": pa.array(columns, pa.int32()), "bias": pa.array(model.bias), "at": pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())),
+            "weight": pa.array([w[f] for w, f in zip(weights, found)], pa.list_(pa.float64())),
+        })
+
+    taught = sample.where(~draw).mapInArrow(dealt, "block bigint, target bigint, doc_id bigint, at array<int>, tf array<float>")
+    got = taught.groupBy("block").applyInArrow(fitted, "column int, bias double, at array<int>, weight array<double>").toArrow()
+    empty = (np.zeros(0, np.int64), np.zeros(0))
+    columns, bias = [empty] * (len(languages) + n_blocks), np.zeros(len(languages) + n_blocks)
+    for column, b, at, weight in zip(got.column("column").to_pylist(), got.column("bias").to_pylist(), got.column("at"), got.column("weight")):
+        columns[column], bias[column] = (at.values.to_numpy(), weight.values.to_numpy()), b
+    weights, bias = Blocks(len(languages), columns, block), bias[: len(languages)] - bias[len(languages) + block]
+    rest = sample.where(draw).mapInArrow(_vectors, "doc_id bigint, lang string, at array<int>, tf array<float>").toArrow()
+    sums, truth = np.zeros((rest.num_rows, weights.width)), np.array([number[x] for x in rest.column("lang").to_pylist()], np.int64)
+    for k, (at, tf) in enumerate(zip(rest.column("at"), rest.column("tf"))):
+        at = at.values.to_numpy()
+        weights.add(sums, np.full(len(at), k), at.astype(np.int64), tf.values.to_numpy() * idf[at] * SCALE)
+    temperature = _temperature(weights.logits(sums) + bias, truth)
+    weights.weight = weights.weight * np.repeat(idf, np.diff(weights.start))
+    return Model(languages, weights, bias, temperature)
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from text and ``lang`` of the documents outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -99,10 +216,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     total = table.pop(-1, 0)
     idf = np.full(1 << BITS, np.log(1 + total) + 1)
     idf[list(table)] = np.log((1 + total) / (1 + np.array(list(table.values()), float))) + 1
-    sample, counts = per_class_sample(rows, "lang", per_language, LANGUAGES)
+    sample, counts = per_class_sample(rows, "lang", per_language)
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 1.0)
+    if len(languages) > JOINT:
+        return _train_blocks(sample, languages, sum(min(per_language, n) for n in counts.values()), idf)
     found = sample.mapInArrow(_vectors, "doc_id bigint, lang string, at array<int>, tf array<float>").toArrow()
     number = {x: k for k, x in enumerate(languages)}
     examples = []
@@ -117,9 +236,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     weights = model.weights()
     logits = np.array([v @ weights[at] + model.bias for at, v, _ in rest])
     truth = np.array([t for *_, t in rest])
-    loss = lambda t: -np.mean(np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12))
-    temperature = min(np.geomspace(0.05, 20, 121), key=loss) if len(truth) else 1.0
-    return Model(languages, np.ascontiguousarray((weights * idf[:, None]).T), model.bias, float(temperature))
+    return Model(languages, np.ascontiguousarray((weights * idf[:, None]).T), model.bias, _temperature(logits, truth))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

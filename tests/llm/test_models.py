@@ -52,6 +52,36 @@ def test_held_out_labels_teach_nothing(many, labels):
     assert np.array_equal(toxicity.train(many, labels).at, toxicity.train(many, wrong).at)
 
 
+def test_every_language_is_learned(spark):
+    """More languages than one softmax holds, the rarest with a few documents, each with words of its own."""
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(130)]
+    rows = [(int(k), " ".join(rng.choice(words[k], 40)), f"l{k:03}") for k in np.repeat(np.arange(130), np.where(np.arange(130) < 20, 60, 16))]
+    docs = spark.createDataFrame([(n, text, lang) for n, (_, text, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == sorted({lang for *_, lang in rows})
+    got = language_id.predict(docs, model).join(docs, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    right = np.mean([r.lang_pred == r.lang for r in held])
+    assert right > 0.95 and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got} == set(model.languages)
+    assert language_id.keep_known(docs).count() > 0.95 * len(rows)
+
+
+def test_block_weights_add_up_as_a_table(monkeypatch):
+    rng = np.random.default_rng(4)
+    dense = rng.normal(0, 1, (5, 1 << language_id.BITS)) * (rng.random((5, 1 << language_id.BITS)) < 0.3)
+    columns = [(np.flatnonzero(w), w[w != 0]) for w in dense]
+    blocks = language_id.Blocks(3, columns, np.array([0, 1, 0]))
+    table = dense[:3] - dense[[3, 4, 3]]
+    texts = ["one two two three", None, "Four! five", "x" * 3000]
+    whole = language_id.Model(["a", "b", "c"], table, np.zeros(3), 1.0).scores(texts)
+    monkeypatch.setattr(language_id, "HELD", 7)
+    model = language_id.Model(["a", "b", "c"], blocks, np.zeros(3), 1.0)
+    assert np.allclose(whole, model.scores(texts))
+    assert np.allclose(model.predict(texts)[1], [whole[0].max(), 0, whole[2].max(), whole[3].max()])
+
+
 def _separates(rows, label):
     good, bad = ([r["score"] for r in rows if r[label] == k] for k in (1, 0))
     return np.mean([[g > b for b in bad] for g in good])
