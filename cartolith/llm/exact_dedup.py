@@ -189,15 +189,18 @@ def exact_groups(docs: DataFrame, deleted: DataFrame | None = None) -> DataFrame
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """``docs`` with one row per distinct text; all columns stay. Rows that repeat a kept row go as well."""
-    per_id = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    per_id = cut_lineage(per_id, "exact-ids")
+    groups = exact_groups(docs)
+    per_id = cut_lineage(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "exact-ids")
     # The dropped ids are far fewer than the kept ones: Spark may broadcast them, and then no text is moved.
     stays = filter_by_id(docs, cut_lineage(per_id.where("NOT kept").select("doc_id"), "exact-dropped"), "left_anti")
-    # Only ids that several kept rows bear need their rows compared.
+    # Only ids that several rows bear, null among them, need their rows judged one by one.
     again = cut_lineage(per_id.where("kept AND n > 1").select("doc_id"), "exact-again")
     if again.isEmpty():
         return stays
-    repeated = filter_by_id(stays, again, "left_semi").withColumn("text", F.coalesce("text", F.lit("")))
-    plain = free_name(docs, "plain")
-    repeated = repeated.withColumn(plain, F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).dropDuplicates([plain]).drop(plain)
-    return filter_by_id(stays, again, "left_anti").unionByName(repeated)
+    digest, id_, of_id = (free_name(docs, name) for name in ("digest", "pair_id", "pair_digest"))
+    pairs = filter_by_id(groups.where("kept"), again, "left_semi").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(of_id))
+    pairs = cut_lineage(pairs.distinct(), "exact-pairs")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    repeated = filter_by_id(stays, again, "left_semi").withColumn(digest, F.sha2(plain, 256))
+    repeated = repeated.join(pairs, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(of_id)), "left_semi")
+    return filter_by_id(stays, again, "left_anti").unionByName(repeated.dropDuplicates([digest]).drop(digest))

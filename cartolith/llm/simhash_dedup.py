@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cartolith.llm.common import filter_by_id
+from cartolith.llm.common import filter_by_id, free_name
 from cartolith.llm.graph import components
 from cartolith.session import cut_lineage
 
@@ -67,8 +68,8 @@ def ball_links(prints: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hexadecimal digits) and component_id."""
+def _grouped(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and print of each row, and ``columns`` of its component: root (a fingerprint) or component_id."""
     rows = cut_lineage(fingerprints(docs), "prints")
     nodes = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "print-nodes")
     roots = components(ball_links(nodes.select("print")))
@@ -76,13 +77,37 @@ def near_groups(docs: DataFrame) -> DataFrame:
         nodes.join(roots, nodes.print == roots.node, "left").select("print", "least_id", F.coalesce("root", "print").alias("root")), "print-roots"
     )
     ids = cut_lineage(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "print-components")
-    of_print = cut_lineage(rooted.join(ids, "root").select("print", "component_id"), "print-ids")
-    return rows.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = cut_lineage(rooted.join(ids, "root").select("print", *columns), "print-ids")
+    return rows.join(of_print, "print").select("doc_id", "print", *columns)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hexadecimal digits) and component_id."""
+    return _grouped(docs, "component_id").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_print(docs: DataFrame, name: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest ``doc_id`` of each component; all columns stay."""
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = near_groups(docs).groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select("doc_id")
+    """``docs`` with one row, of the smallest ``doc_id``, of each component; all columns stay."""
+    rows, stays = _grouped(docs, "root", "component_id"), F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per_id = cut_lineage(rows.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "near-doc-ids")
     # The dropped ids are far fewer than the kept ones: Spark may broadcast them, and then no text is moved.
-    return filter_by_id(docs, cut_lineage(dropped, "near-dropped"), "left_anti")
+    kept = filter_by_id(docs, cut_lineage(per_id.where("NOT stays").select("doc_id"), "near-dropped"), "left_anti")
+    # Only ids that several rows bear, null among them, need their rows judged one by one.
+    again = cut_lineage(per_id.where("stays AND n > 1").select("doc_id"), "near-again")
+    if again.isEmpty():
+        return kept
+    print_, id_, of_id, root = (free_name(docs, name) for name in ("print", "pair_id", "pair_print", "pair_root"))
+    pairs = filter_by_id(rows.where(stays), again, "left_semi").select(F.col("doc_id").alias(id_), F.col("print").alias(of_id), F.col("root").alias(root))
+    pairs = cut_lineage(pairs.distinct(), "near-pairs")
+    repeated = _with_print(filter_by_id(kept, again, "left_semi"), print_)
+    repeated = repeated.join(pairs, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(print_) == F.col(of_id)))
+    return filter_by_id(kept, again, "left_anti").unionByName(repeated.dropDuplicates([root]).drop(print_, id_, of_id, root))

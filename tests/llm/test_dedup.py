@@ -102,6 +102,17 @@ def test_near_groups(which, request, monkeypatch):
     assert kept.columns == df.columns and {i for (i,) in _rows(kept, "doc_id")} == {c for *_, c in want}
 
 
+def test_ids_with_a_unique_and_a_copied_text(spark):
+    """Repeated and null ids stay only by the rows that are kept themselves."""
+    a, b, c, d = ("alpha beta gamma", "one two three four", "red green blue cyan", "north east south west")
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c + " "), (None, b), (None, d), (7, d), (7, d), (7, None), (8, ""), (None, "only here at all")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id bigint, text string, print int, digest string")
+    want = sorted(map(str, {(5, a), (3, b), (None, c), (7, d), (7, ""), (None, "only here at all")}))
+    for kept in (exact_dedup.dedup_exact(df), simhash_dedup.dedup_near(df)):
+        assert kept.columns == df.columns
+        assert sorted(str((i, (t or "").strip())) for i, t in _rows(kept, "doc_id", "text")) == want
+
+
 def test_links_join_what_is_within_two_bits(spark):
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(60)]
