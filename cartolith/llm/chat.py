@@ -1,7 +1,8 @@
 """Chat formatting: logged conversations that only begin longer ones are dropped before rendering.
 
 A log often holds snapshots of one conversation, each a little longer. The hash of the first k turns is the
-exclusive-or of one 128-bit hash per (turn, role, text), so it rolls along a conversation and adds up over blocks of
+exclusive-or of one 128-bit hash per (turn, role, text), of two halves with a number each before these columns: Spark hashes a column with the hash
+of the ones before it as its seed, so turns that collide in one half need not in the other. So it rolls along a conversation and adds up over blocks of
 turns: even a conversation with very many turns is never gathered in one task. A conversation goes if its last hash
 is an inner prefix hash of another one (an anti-join of hashes alone) or if a conversation with the same turns and a
 smaller ``conv_id`` exists.
@@ -26,7 +27,7 @@ TEMPLATE = ("<|", "|>\n", "\n<|end|>\n")
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, a, b, last): rolling hashes up to each turn number, and whether it is the last one."""
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-1).cast("bigint")).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    marked = rows.select("conv_id", "turn", *(F.xxhash64("turn", F.coalesce("role", F.lit("\u0001")), F.coalesce("text", F.lit("\u0001")), F.lit(k)).alias(c) for k, c in enumerate("ab"))).distinct()
+    marked = rows.select("conv_id", "turn", *(F.xxhash64(F.lit(k), "turn", F.coalesce("role", F.lit("\u0001")), F.coalesce("text", F.lit("\u0001"))).alias(c) for k, c in enumerate("ab"))).distinct()
     # One row per turn number; its block's hash is the base of the blocks after it.
     both = [F.expr(f"bit_xor({c})").alias(c) for c in "ab"]
     each = cut_lineage(marked.groupBy("conv_id", "turn").agg(*both).withColumn("block", F.floor(F.col("turn") / BLOCK)), "turn-hashes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+import xxhash
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -38,6 +39,23 @@ def test_snapshots(spark, monkeypatch):
     assert chat.render(turns).where("conv_id = 2").count() == 7 and chat.render(turns.limit(0)).count() == 0
 
 
+def test_turns_that_collide_in_one_hash_stay_apart(spark):
+    """Two turns made to have the same xxhash64(turn, role, text)."""
+    bits, p1, p2, p5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5
+    turn = lambda role: (xxhash.xxh64_intdigest(role, xxhash.xxh64_intdigest(bytes(8), 42)) + p5 + 8) & bits
+    mixed = lambda x: (x := x * p2 & bits, (x << 31 | x >> 33) * p1 & bits)[1]
+    want = turn("user") ^ mixed(int.from_bytes(b"eight by", "little"))
+    for k in range(100_000):
+        x = (turn(f"r{k}") ^ want) * pow(p1, -1, 1 << 64) & bits
+        text = ((x >> 31 | x << 33) * pow(p2, -1, 1 << 64) & bits).to_bytes(8, "little")
+        if text.isascii():
+            break
+    rows = [(1, 0, "user", "eight by"), (2, 0, f"r{k}", text.decode())]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    assert turns.selectExpr("xxhash64(bigint(turn), role, text)").distinct().count() == 1
+    assert sorted((r.conv_id, r.copies) for r in chat.maximal(turns).collect()) == [(1, 1), (2, 1)]
+
+
 def test_checked_queries_equal_sql(spark):
     con = duckdb.connect()
     for name in TABLES:
