@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import chat, decontaminate, exact_dedup, language_id, packing, quality, secrets, simhash_dedup, toxicity, url_filter
+from cartolith.llm import chat, decontaminate, exact_dedup, language_id, merkle, packing, quality, secrets, simhash_dedup, toxicity, url_filter
 from cartolith.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ SELECT conv_id, turn, role, copies, concat('<|', role, '|>', chr(10), text, chr(
 def chat_query(table):
     """Chat text of the conversations that no longer one begins with."""
     return chat.render(table("conversations"))
+
+
+@_query("op11_merkle_manifest")
+def manifest_query(table):
+    """Leaf, subroot, root and proof of every document, and whether its tampered copy still verifies."""
+    return merkle.manifest(table("documents"))
