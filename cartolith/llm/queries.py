@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import chat, decontaminate, exact_dedup, language_id, merkle, packing, quality, secrets, simhash_dedup, toxicity, url_filter
+from cartolith.llm import chat, decontaminate, exact_dedup, language_id, merkle, packing, quality, secrets, simhash_dedup, sketch, spelling, toxicity, url_filter
 from cartolith.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,15 @@ def chat_query(table):
 def manifest_query(table):
     """Leaf, subroot, root and proof of every document, and whether its tampered copy still verifies."""
     return merkle.manifest(table("documents"))
+
+
+@_query("op12_document_fingerprints")
+def fingerprint_query(table):
+    """Sketches of every document and its edited copy, and their likeness to each other and to the next document."""
+    return sketch.edit_report(table("documents"))
+
+
+@_query("op13_spelling_variants")
+def spelling_query(table):
+    """Every word of the vocabulary with its near words, its form and the root of its forms."""
+    return spelling.variants(table("documents"))
