@@ -3,10 +3,10 @@
 Documents become pieces of at most one sequence length. Only the histogram of piece lengths reaches the driver, so
 what is solved there has the size of a sequence, whatever the corpus holds. A configuration says how many pieces of
 each length share a sequence. The covering program (least number of configurations that cover the histogram) is
-solved by multiplicative weights: lengths that are covered lose weight, a knapsack dynamic program prices the best
-configuration for each forced first length, and all near-best ones take a step. The solution is scaled and rounded
-down within the histogram; what rounding leaves is solved again and, once nothing rounds up to a sequence, packed by
-best fit. The result covers the histogram exactly, so sequences have no gaps.
+solved by multiplicative weights: lengths that are covered lose weight, and a knapsack dynamic program prices the
+best configuration of every step. The fractional solution is rounded down to whole sequences; what that leaves is
+covered by the same weights and prices in whole steps. The result covers the histogram exactly, so sequences have no
+gaps, and neither the steps nor the table of configurations grow with the number of pieces.
 
 Pieces find their place by rank: the rank of a piece among pieces of its length comes from counts per (block,
 length) and a rank within its block, where a block is a bounded share of the pieces; the place of that rank is
@@ -92,87 +92,98 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
     return rows.mapInArrow(_piece_batches(tokenizer, ranks, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value of every capacity, and the length (0: none) that an optimal filling takes next."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = value[lengths]
-    for room in range(int(lengths[0]), capacity + 1):
-        fit = np.searchsorted(lengths, room, "right")
-        total = best[room - lengths[:fit]] + worth[:fit]
-        k = int(np.argmax(total))
-        best[room], take[room] = total[k], lengths[k]
-    return best, take
-
-
-def _fractional(need: np.ndarray, capacity: int, rounds: int = 40, eta: float = 8.0) -> Counter:
-    """Fractional number of each configuration (a sorted tuple of lengths) that covers ``need``, by multiplicative weights."""
-    lengths = np.flatnonzero(need)
-    covered, amount = np.zeros(capacity + 1), Counter()
-    for _ in range(rounds):
-        gap = covered[lengths] / need[lengths]
-        value = np.zeros(capacity + 1)
-        value[lengths] = np.exp(-eta * (gap - gap.min())) / need[lengths]
-        best, take = _price(value, lengths, capacity)
-        forced = value[lengths] + best[capacity - lengths]
-        for first in lengths[forced >= 0.8 * forced.max()]:
-            config, room = [int(first)], capacity - int(first)
-            while take[room]:
-                config.append(int(take[room]))
-                room -= config[-1]
-            count = Counter(config)
-            step = min(need[n] / k for n, k in count.items()) / rounds * 2
-            amount[tuple(sorted(config, reverse=True))] += step
-            for n, k in count.items():
-                covered[n] += step * k
-    # Scaled so that what is packed twice and what is packed too seldom balance; rounding keeps within ``need``.
-    ratio = covered[lengths] / need[lengths]
-    scale = float(np.median(ratio[ratio > 0])) if (ratio > 0).any() else 1.0
-    return Counter({c: x / scale for c, x in amount.items()})
-
-
-def _best_fit(need: np.ndarray, capacity: int) -> Counter:
-    """Longest first, each into the fullest sequence that still holds it."""
-    out, open_, rooms = Counter(), [[] for _ in range(capacity + 1)], 0
-    for length in np.flatnonzero(need)[::-1].tolist():
-        for _ in range(int(need[length])):
-            above = rooms >> length
-            if above:
-                room = length + (above & -above).bit_length() - 1
-                held = open_[room].pop()
-                if not open_[room]:
-                    rooms ^= 1 << room
-            else:
-                room, held = capacity, []
-            held = [*held, length]
-            left = room - length
-            if left:
-                open_[left].append(held)
-                rooms |= 1 << left
-            else:
-                out[tuple(held)] += 1
-    for group in open_:
-        out.update(map(tuple, group))
-    return out
+def _knapsack(lengths: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """The most valuable filling of ``capacity`` by at most ``most`` pieces of each length: (length, count) pairs."""
+    items = []
+    for length, bound, worth in zip(lengths.tolist(), most.tolist(), value.tolist()):
+        bound, count = min(bound, capacity // length), 1
+        while bound > 0:  # counts of 1, 2, 4, ... and a rest, of which every number up to the bound is a sum
+            count = min(count, bound)
+            items.append((length, count, worth))
+            bound, count = bound - count, 2 * count
+    best, total, better = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for (length, count, worth), gain in zip(items, better):
+        size = length * count
+        with_item, without = np.add(best[:-size], count * worth, out=total[size:]), best[size:]
+        np.greater(with_item, without, out=gain[size:])
+        np.maximum(with_item, without, out=without)
+    room, used = capacity, Counter()
+    for (length, count, _), gain in zip(reversed(items), better[::-1]):
+        if gain[room]:
+            used[length] += count
+            room -= length * count
+    return sorted(used.items(), reverse=True)
+
+
+class Cover:
+    """The covering program of a histogram, solved by multiplicative weights.
+
+    A length weighs its tokens times exp(-RATE x the share of it that is covered). Every step prices the best
+    configuration by a knapsack program and takes it as often as the scarcest of its lengths allows, so it uses a length
+    up: the number of steps goes by the number of lengths, not of pieces. Pricing starts with the weightiest lengths of
+    each band (upper bound, lengths) and takes four times as many until the configuration is full or all are priced.
+    """
+
+    RATE, PER_LENGTH = 0.5, 2
+    BANDS = ((1 / 16, 32), (1 / 4, 24), (1, 24))
+
+    def __init__(self, need: np.ndarray, capacity: int):
+        self.need, self.left, self.capacity = need.astype(float), need.astype(float), capacity
+        self.tie = np.linspace(0.02, 0, capacity + 1)  # of lengths covered alike, the longer ones come first
+
+    def _priced(self, lengths: np.ndarray, covered: np.ndarray, times: int) -> np.ndarray:
+        parts, above = [], 0
+        for bound, count in self.BANDS:
+            band = np.flatnonzero((lengths > above) & (lengths <= bound * self.capacity))
+            if len(band) > count * times:
+                band = band[np.argpartition(covered[band], count * times)[: count * times]]
+            parts.append(band)
+            above = bound * self.capacity
+        return np.sort(np.concatenate(parts))[::-1]
+
+    def step(self) -> tuple[tuple[tuple[int, int], ...], float]:
+        """The next configuration and how often it is taken."""
+        lengths, times = np.flatnonzero(self.left >= 1), 1
+        covered = 1 - self.left[lengths] / self.need[lengths] + self.tie[lengths]
+        while True:
+            part = self._priced(lengths, covered, times)
+            value = lengths[part] * np.exp(-self.RATE * covered[part])
+            most = np.minimum(self.left[lengths[part]].astype(np.int64), self.PER_LENGTH)
+            config = _knapsack(lengths[part], most, value, self.capacity)
+            if len(part) == len(lengths) or sum(n * k for n, k in config) == self.capacity:
+                break
+            times *= 4
+        return tuple(config), min(self.left[n] / k for n, k in config)
+
+    def take(self, config: tuple[tuple[int, int], ...], amount: float) -> None:
+        for n, k in config:
+            self.left[n] -= amount * k
 
 
 def configurations(need: np.ndarray, capacity: int = 2048) -> Counter:
-    """How often each configuration is used; together they hold exactly ``need[length]`` pieces of each length."""
-    need, out = need.astype(np.int64).copy(), Counter()
+    """How often each configuration ((length, count), ...) is used; together they hold exactly ``need[length]`` pieces.
+
+    The fractional solution is rounded down to whole sequences, and what it leaves is covered in whole steps.
+    """
+    out, amounts = Counter(), Counter()
     if need[capacity]:
-        out[(capacity,)], need[capacity] = int(need[capacity]), 0
-    while need.any():
-        before = int(need.sum())
-        solution = _fractional(need.astype(float), capacity)
-        for config, amount in sorted(solution.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
-            count = Counter(config)
-            times = min(int(amount), *(int(need[n]) // k for n, k in count.items()))
-            if times > 0:
-                out[config] += times
-                for n, k in count.items():
-                    need[n] -= times * k
-        if need.sum() > 0.9 * before:
-            break
-    out.update(_best_fit(need, capacity))
+        out[((capacity, 1),)] = int(need[capacity])
+    rest = np.where(np.arange(capacity + 1) == capacity, 0, need).astype(np.int64)
+    solution = Cover(rest, capacity)
+    while solution.left.sum() > max(0.02 * rest.sum(), np.count_nonzero(rest)):
+        config, amount = solution.step()
+        solution.take(config, amount)
+        amounts[config] += amount
+    for config, amount in amounts.items():
+        if amount >= 1:
+            out[config] += int(amount)
+            for n, k in config:
+                rest[n] -= int(amount) * k
+    whole = Cover(rest, capacity)
+    while whole.left.any():
+        config, amount = whole.step()
+        whole.take(config, int(amount))
+        out[config] += int(amount)
     return out
 
 
@@ -183,7 +194,7 @@ class Places:
         slots, base = {}, 0
         for config, times in sorted(packed.items(), reverse=True):
             offset = 0
-            for length, count in sorted(Counter(config).items(), reverse=True):
+            for length, count in config:
                 slots.setdefault(length, []).append((base, count, times * count, offset))
                 offset += length * count
             base += times

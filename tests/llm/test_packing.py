@@ -59,15 +59,35 @@ def test_added_tokens_have_their_ids(spark):
         assert {(r.doc_id, r.length, r.ids_crc32) for r in packed.collect()} == want
 
 
+def _covered(used):
+    covered = np.zeros(2049, np.int64)
+    for config, times in used.items():
+        assert sum(n * k for n, k in config) <= 2048 and times > 0
+        for n, k in config:
+            covered[n] += k * times
+    return covered
+
+
 @pytest.mark.parametrize("pieces", [0, 1, 40, 60_000])
 def test_configurations_cover_exactly(pieces):
     rng = np.random.default_rng(pieces)
     need = np.bincount(np.minimum(2048, rng.gamma(2, 300, pieces).astype(int) + 1), minlength=2049)
     used = packing.configurations(need)
-    covered = np.zeros(2049, np.int64)
-    for config, times in used.items():
-        assert sum(config) <= 2048
-        for n in config:
-            covered[n] += times
-    assert (covered == need).all()
+    assert (_covered(used) == need).all()
     assert sum(used.values()) <= -(-int(need @ np.arange(2049)) // 2048) * 1.01 + 1
+
+
+def test_work_goes_by_lengths_and_not_by_pieces(monkeypatch):
+    """A histogram like that of the documents, once and 10,000 times: priced steps, configurations, sequences."""
+    rng, steps = np.random.default_rng(5), []
+    own = packing.Cover.step
+    monkeypatch.setattr(packing.Cover, "step", lambda self: steps.append(1) or own(self))
+    need = np.bincount(np.minimum(2048, rng.lognormal(6, 1.1, 6000).astype(int) + 1), minlength=2049)
+    found = []
+    for times in (1, 10_000):
+        steps.clear()
+        used = packing.configurations(need * times)
+        assert (_covered(used) == need * times).all() and len(used) <= len(steps) + 1
+        found.append((len(steps), sum(used.values()) / (int(need @ np.arange(2049)) * times / 2048)))
+    assert found[1][0] < 2.5 * found[0][0] and found[1][0] < 2 * np.count_nonzero(need)
+    assert all(ratio < 1.01 for _, ratio in found)
