@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import filter_by_id
+from cartolith.llm.common import filter_by_id, free_name
 from cartolith.session import cut_lineage
 
 WINDOW = 13
@@ -299,7 +299,27 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"), "spans")
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, bad) of each row: if an item's words make up a twentieth of its words or more."""
+    return contamination(docs, benchmark)[0].select("doc_id", F.expr("n_hit > 0 AND n_hit * 20 >= n_words").alias("bad"))
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay. Rows that share a ``doc_id`` go together."""
-    bad = contamination(docs, benchmark)[0].where("n_hit > 0 AND n_hit * 20 >= n_words").select("doc_id").distinct()
-    return filter_by_id(docs, cut_lineage(bad, "contaminated"), "left_anti")
+    """``docs`` without contaminated rows; all columns stay.
+
+    Where clean and contaminated rows share a ``doc_id``, or have none, they are judged text by text, so the clean ones stay.
+    """
+    found = cut_lineage(contaminated_rows(docs, benchmark), "contaminated-rows")
+    per_id = found.groupBy("doc_id").agg(F.max("bad").alias("bad"), F.min("bad").alias("all_bad")).where("bad")
+    per_id = cut_lineage(per_id, "contaminated")
+    stays = filter_by_id(docs, per_id.select("doc_id"), "left_anti")
+    mixed = per_id.where("NOT all_bad").select("doc_id")
+    if mixed.isEmpty():
+        return stays
+    name = free_name(docs, "digest")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    unsure = cut_lineage(filter_by_id(docs, mixed, "left_semi").withColumn(name, digest), "contaminated-unsure")
+    texts = unsure.groupBy(name).agg(F.first("text").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    texts = cut_lineage(texts, "contaminated-texts")
+    bad = contaminated_rows(texts, benchmark).where("bad").join(texts, "doc_id").select(name)
+    return stays.unionByName(unsure.join(cut_lineage(bad, "contaminated-digests"), name, "left_anti").select(docs.columns))

@@ -98,7 +98,7 @@ class Bucket:
             return
         found[0] += live
         rank = lambda i, n: (n, i is not None, -(i or 0))
-        if keep_id is not None and rank(keep_id, n_points) > rank(found[1], found[2]):
+        if rank(keep_id, n_points) > rank(found[1], found[2]):
             found[1:] = [keep_id, n_points]
 
     def delete(self, digest: bytes, copies: int) -> None:
@@ -124,7 +124,7 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     bucket, gone = Bucket(), []
     columns = (table.column(c).to_pylist() for c in ("digest", "n_points", "added", "deleted", "keep_id"))
     for digest, n_points, added, deleted, keep_id in zip(*columns):
-        bucket.insert(digest, added, keep_id, n_points if keep_id is not None else -1)
+        bucket.insert(digest, added, keep_id, n_points if added > deleted else -1)
         if deleted:
             gone.append((digest, deleted))
     for digest, copies in gone:

@@ -24,12 +24,11 @@ def _exact(rows):
     digest = lambda t: hashlib.sha256(BLANK.sub("", t or "").encode()).hexdigest()
     groups = {}
     for i, t in rows:
-        groups.setdefault(digest(t), []).append((-len(t or ""), i is None, i or 0, i))
+        groups.setdefault(digest(t), []).append((-len(t or ""), i is None, i or 0, i))  # code points first, null ids lose ties
     out = []
     for i, t in rows:
         g = groups[digest(t)]
-        live = [x for x in g if x[3] is not None]
-        keep = min(live)[3] if live else None
+        keep = min(g)[3]
         out.append((i, keep, len(g), i == keep, digest(t)))
     return out
 
@@ -176,7 +175,26 @@ def test_contamination(which, block, request, monkeypatch, benchmark, spark):
     assert sorted(map(str, _rows(decontaminate.contamination_report(df, benchmark), *NAMES))) == sorted(map(str, want))
     assert which == "empty" or any(r[-1] for r in want)
     clean = decontaminate.remove_contaminated(df, benchmark)
-    assert clean.columns == df.columns and {i for (i,) in _rows(clean, "doc_id")} == {r[0] for r in want} - {r[0] for r in want if r[-1]}
+    rows = _rows(df, "doc_id", "text")
+    assert clean.columns == df.columns and Counter(_rows(clean, "doc_id", "text")) == Counter(r for r, w in zip(rows, want) if not w[-1])
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    passage = " ".join(f"word{k}" for k in range(20))
+    rows = [(None, passage), (None, "clean text"), (1, "clean"), (2, passage), (2, "also clean"), (2, passage.upper()), (3, passage), (None, None), (2, None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, digest string, Wanted_ID string")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    clean = decontaminate.remove_contaminated(df, items)
+    want = [(None, "clean text"), (1, "clean"), (2, "also clean"), (None, None), (2, None)]
+    assert clean.columns == df.columns and Counter(_rows(clean, "doc_id", "text")) == Counter(want)
+
+
+def test_null_ids_lose_ties_only(spark):
+    rows = [("a  b  c", None), ("abc", 5), ("x y", None), ("x\ty", 7), ("z", None), ("z", None)]
+    df = spark.createDataFrame([(i, t) for t, i in rows], "doc_id bigint, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {(None, None, True), (5, None, False), (None, 7, False), (7, 7, True)}
+    assert Counter(_rows(exact_dedup.dedup_exact(df), "doc_id", "text")) == Counter([(None, "a  b  c"), (7, "x\ty"), (None, "z")])
 
 
 def test_contamination_without_benchmark(odd, benchmark):
