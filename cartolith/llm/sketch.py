@@ -93,13 +93,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(key, to_key, take): the document ``key`` follows ``to_key``, which takes a third of its own length from it."""
+    """(key, to_key, doc_id, take): the document ``key`` follows ``to_key`` of ``doc_id``, which takes a third of its own
+    length from it."""
     keys = ranked(rows.select("doc_id", "key", F.length("text").alias("n")).distinct(), ["doc_id", "key"], "sketch-keys")
-    keys = cut_lineage(keys.select("rank", "key", "n"), "sketch-ranks")
+    keys = cut_lineage(keys.select("rank", "key", "doc_id", "n"), "sketch-ranks")
     last = keys.count() - 1
     follower = F.when(F.col("rank") == last, F.lit(0)).otherwise(F.col("rank") + 1)  # ranks ascend, documents descend
-    ahead = keys.select(F.col("rank").alias("of"), F.col("key").alias("to_key"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    return cut_lineage(keys.join(ahead, follower == F.col("of")).select("key", "to_key", "take"), "sketch-neighbours")
+    ahead = keys.select(F.col("rank").alias("of"), F.col("key").alias("to_key"), "doc_id", F.floor(F.col("n") / 3).cast("int").alias("take"))
+    pairs = keys.select("rank", "key").join(ahead, follower == F.col("of"))
+    return cut_lineage(pairs.select("key", "to_key", "doc_id", "take"), "sketch-neighbours")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -114,12 +116,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     The last third of the edited copy is replaced by the beginning of the next document.
     """
     rows = keyed(docs)
-    given = rows.join(neighbours(rows), "key").select("to_key", F.expr("substring(text, 1, take)").alias("start"), "text")
-    given = given.select("to_key", "start", sketch(shingle_hashes(F.col("text"))).alias("next_sketch"))
-    given = given.groupBy(F.col("to_key").alias("key")).agg(F.first("start").alias("start"), F.first("next_sketch").alias("next_sketch"))
-    both = rows.join(given, "key").select(
-        "doc_id", "next_sketch", "text", F.length("text").alias("n"), "start",
-    )
+    near = neighbours(rows)
+    texts = rows.select("key", "text")  # read in both joins with the same columns, so Spark shuffles them once
+    given = texts.join(near, "key").select("to_key", "doc_id", F.expr("substring(text, 1, take)").alias("start"), "text")
+    given = given.select("to_key", "doc_id", "start", sketch(shingle_hashes(F.col("text"))).alias("next_sketch"))
+    given = given.groupBy(F.col("to_key").alias("key")).agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "next_sketch")))
+    both = texts.join(given, "key").select("doc_id", "next_sketch", "text", F.length("text").alias("n"), "start")
     both = both.select("doc_id", "next_sketch", "text", "n", F.expr("concat(substring(text, 1, n - CAST(floor(n / 3) AS INT)), start)").alias("edited"))
     both = both.select(
         "doc_id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_sketch",
