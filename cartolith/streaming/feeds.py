@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cartolith import constants as K
-from cartolith.functions import gates
+from cartolith.functions import gates, grammar
 from cartolith.operators import corpus, feed
 
 
@@ -95,20 +99,55 @@ def gate_batch(allowed: str | None, path: str) -> Callable[[DataFrame, int], Non
     return each
 
 
-def clock_batch(path: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
-    """Sink that gives publish times, continuing each address from its last one.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    ``schema`` describes the published table: keys, now, id, created_at, code.
-    """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        start_table(spark, path, schema)
-        before = read_batches(spark, path, batch_id)
-        last = before.where("created_at IS NOT NULL").groupBy(*keys).agg(F.max("created_at").alias("last"))
-        write_batch(feed.publish_clock(batch, keys, last=last), path, batch_id)
+class PublishClock(StatefulProcessor):
+    """Gives each request of an address max(now, last time + 1); the state of an address is its last time."""
 
-    return each
+    def __init__(self, now: str):
+        self.now = now
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        for part in rows:
+            good = part["code"].isna().to_numpy()
+            wanted = part.loc[good, self.now].to_numpy("int64")
+            steps = np.arange(len(wanted))
+            # Times rise by one at least, so each less its place is a running maximum.
+            ahead = wanted - steps if last is None else np.maximum(wanted - steps, last + 1)
+            at = np.maximum.accumulate(ahead) + steps
+            fits = at <= K.MAX_CREATED_AT
+            if fits.any():
+                last = int(at[fits].max())
+            times, codes = part[self.now].astype("Int64"), part["code"].astype(object)
+            times[:] = pd.NA
+            times[good] = pd.array(np.where(fits, at, -1), "Int64")
+            codes[good] = np.where(fits, None, "CREATED_AT_RANGE")
+            yield part.assign(created_at=times.where(times >= 0, pd.NA), code=codes.where(codes.notna(), None))
+        if last is not None:
+            self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
+def live_clock(requests: DataFrame, keys: list[str], now: str = "now") -> DataFrame:
+    """Publish times of a stream of requests, in their order of arrival; run in append mode.
+
+    Adds ``created_at`` and ``code`` (a time that is no time, or the clock at its end; such a request gets no time and
+    moves no clock). One number per address stays in the state store, on disk, so the work of a batch goes by its own
+    requests and not by what was published before. The requests of an address pass one task in small parts; how many
+    a batch holds is up to the stream's trigger.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    coded = requests.withColumn("code", grammar.created_at_code(F.col(now)))
+    fields = StructType([*requests.schema.fields, StructField("created_at", LongType()), StructField("code", StringType())])
+    coded = coded.select(*requests.columns, F.lit(None).cast("bigint").alias("created_at"), "code")
+    return coded.groupBy(*keys).transformWithStateInPandas(PublishClock(now), fields, "Append", "None")
 
 
 # --- ingest ----------------------------------------------------------------------------------
@@ -124,24 +163,29 @@ RESULTS = (
 )
 
 
-def ingest_batch(path: str, cap: int = K.ELEMENT_CAP) -> Callable[[DataFrame, int], None]:
-    """Sink that takes tile payloads in: guards, content-addressed store, index, outcomes.
+def judged_payloads(payloads: DataFrame, cap: int = K.ELEMENT_CAP) -> DataFrame:
+    """Payloads (region, kind, z, x, y, content, n_elements, buildings, roads, landuse, at) with size, r_error and sha256."""
+    rows = payloads.withColumn("size", F.octet_length("content").cast("bigint"))
+    rows = rows.withColumn("r_error", gates.ingest_error("kind", "size", "n_elements", cap))
+    return rows.withColumn("sha256", corpus.content_key("content"))
+
+
+def new_contents(payloads: DataFrame, cap: int = K.ELEMENT_CAP) -> DataFrame:
+    """Contents (sha256, content) not seen before in the stream; run in append mode.
 
-    Payload rows: region, kind, z, x, y, content, n_elements, buildings, roads, landuse, at.
+    Only hashes stay in the state store, on disk: a batch looks its own hashes up, and no earlier content is read.
     """
+    payloads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    good = judged_payloads(payloads, cap).where(F.col("r_error").isNull())
+    return good.select("sha256", F.col("content").cast("binary").alias("content")).dropDuplicates(["sha256"])
+
+
+def record_batch(path: str, cap: int = K.ELEMENT_CAP) -> Callable[[DataFrame, int], None]:
+    """Sink for the index rows and the outcomes of a batch of payloads; contents are hashed where they are read and stay there."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        for name, schema in (("blobs", BLOBS), ("index", INDEX), ("results", RESULTS)):
-            start_table(spark, f"{path}/{name}", schema)
-        size = F.octet_length("content").cast("bigint")
-        rows = batch.withColumn("size", size).withColumn("r_error", gates.ingest_error("kind", "size", "n_elements", cap))
-        rows = rows.withColumn("sha256", corpus.content_key("content"))
-        good = rows.where(F.col("r_error").isNull())
-        stored = read_batches(spark, f"{path}/blobs", batch_id)
-        fresh = corpus.new_blobs(good.select("content", "at"), stored, first_by="at")
-        write_batch(fresh.select("sha256", F.col("content").cast("binary").alias("content")), f"{path}/blobs", batch_id)
-        records = corpus.ingest_records(good, F.col("at"))
+        rows = judged_payloads(batch, cap).drop("content").persist()
+        records = corpus.ingest_records(rows.where(F.col("r_error").isNull()), F.col("at"))
         order = [F.col("uploaded_at"), F.col("owner"), F.col("tile_x"), F.col("tile_y")]
         write_batch(corpus.latest(records, ["sha256"], order), f"{path}/index", batch_id)
         done = F.col("r_error").isNull()
@@ -150,10 +194,23 @@ def ingest_batch(path: str, cap: int = K.ELEMENT_CAP) -> Callable[[DataFrame, in
             *[F.col(n).alias(f"r_{n}") for n in ("buildings", "roads", "landuse")], F.col("at").alias("r_at"),
         )
         write_batch(corpus.latest(outcome, corpus.ITEM_KEY, [F.col("r_at")]), f"{path}/results", batch_id)
+        rows.unpersist()
 
     return each
 
 
+def ingest(payloads: DataFrame, path: str, progress: str, cap: int = K.ELEMENT_CAP) -> None:
+    """Take in all payloads that have arrived: guards, content-addressed store, index, outcomes.
+
+    Two queries over the same stream, each with its own progress under ``progress``: contents by the hashes in its
+    state, records without state. A later call goes on from there, and a replayed batch replaces its folder.
+    """
+    for name, schema in (("blobs", BLOBS), ("index", INDEX), ("results", RESULTS)):
+        start_table(payloads.sparkSession, f"{path}/{name}", schema)
+    run_available(new_contents(payloads, cap), f"{progress}/contents", lambda batch, n: write_batch(batch, f"{path}/blobs", n))
+    run_available(payloads, f"{progress}/records", record_batch(path, cap))
+
+
 def live_progress(items: DataFrame) -> DataFrame:
     """Progress counts of a stream of item rows; run in complete mode."""
     return corpus.progress(items)

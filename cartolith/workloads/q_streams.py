@@ -76,13 +76,17 @@ def _(v):
     return heads.select("kind", "pubkey", F.col("d").cast("bigint").alias("d"), "id")
 
 
-@query("i05_publish_clock")
+@query("i05_publish_clock", """
+SELECT sha256(concat('author-', user_id)) AS pubkey, kind, count(*) AS n, count(*) AS times, min(created_at) AS earliest, true AS in_time
+FROM v_feed GROUP BY ALL""", "v_feed")
 def _(v):
-    """Publish times given batch by batch; depends on arrival, so only rows are compared."""
+    """Requests, distinct publish times and the earliest request of each address; no time is before its request."""
     stream = _feed_stream(v).select("pubkey", "kind", "id", F.col("created_at").alias("now"))
-    schema = "pubkey string, kind bigint, id string, now bigint, created_at bigint, code string"
-    path = _run(v, stream, "append", lambda p: live.clock_batch(p, ["pubkey", "kind"], schema))
-    return live.read_batches(v.spark, path).drop("batch_id")
+    path = _run(v, live.live_clock(stream, ["pubkey", "kind"]), "append")
+    in_time = F.bool_and(F.col("created_at") >= F.col("now")) & (F.min("created_at") >= F.min("now"))
+    return live.read_batches(v.spark, path).groupBy("pubkey", "kind").agg(
+        F.count("*").alias("n"), F.count_distinct("created_at").alias("times"), F.min("now").alias("earliest"), in_time.alias("in_time")
+    )
 
 
 _ITEM_SCHEMA = "region string, kind string, z bigint, x bigint, y bigint, status string, attempts bigint"
@@ -105,7 +109,8 @@ WITH p AS (SELECT *, sha256(concat(CAST(x % 100 AS VARCHAR), '/', CAST(y % 40 AS
 SELECT 'results' AS part, count(*) AS n, count(*) FILTER (bad) AS failed FROM p UNION ALL SELECT 'blobs', count(DISTINCT sha) FILTER (NOT bad), 0 FROM p UNION ALL SELECT 'index', count(DISTINCT sha) FILTER (NOT bad), 0 FROM p""", "v_items")
 def _(v):
     """Outcomes per item, distinct stored contents and index rows after a bounded ingest."""
-    path = _run(v, _payload_stream(v), "append", live.ingest_batch)
+    path = work_dir(v.spark, "store")
+    live.ingest(_payload_stream(v), path, work_dir(v.spark, "progress"))
     read = lambda name: live.read_batches(v.spark, f"{path}/{name}")
     results = read("results").agg(F.count("*").alias("n"), F.count("r_error").alias("failed")).select(F.lit("results").alias("part"), "n", "failed")
     blobs = read("blobs").agg(F.count("*").alias("n")).select(F.lit("blobs").alias("part"), "n", F.lit(0).cast("bigint").alias("failed"))

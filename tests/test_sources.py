@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import random
+import shutil
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,31 +154,77 @@ def test_live_heads_do_not_depend_on_arrival(spark, tmp_path, seed):
     assert {r["pubkey"]: r["id"] for r in live.read_latest(spark, sink, ["pubkey"]).collect()} == got
 
 
-def test_clock_continues_over_batches(spark, tmp_path):
-    schema = "k string, id string, now bigint, created_at bigint, code string"
-    each = live.clock_batch(str(tmp_path / "t"), ["k"], schema)
-    first = spark.createDataFrame([("a", "1", 100), ("a", "2", 100)], "k string, id string, now bigint")
-    each(first, 0)
-    each(spark.createDataFrame([("a", "3", 50), ("b", "4", 7)], "k string, id string, now bigint"), 1)
-    each(first, 0)  # replay of a batch
-    rows = {r["id"]: r["created_at"] for r in live.read_batches(spark, str(tmp_path / "t")).collect()}
-    assert rows == {"1": 100, "2": 101, "3": 102, "4": 7}
-
-
-def test_ingest_is_idempotent(spark, tmp_path):
-    schema = "region string, kind string, z bigint, x bigint, y bigint, content string, n_elements bigint, buildings bigint, roads bigint, landuse bigint, at bigint"
-    rows = [("madeira", "dem", 13, 1, 1, "sea", 0, 0, 0, 0, 5), ("madeira", "dem", 13, 1, 2, "sea", 0, 0, 0, 0, 5),
-            ("madeira", "features", 13, 1, 1, "cut", 20000, 1, 1, 1, 5), ("madeira", "ortho", 13, 1, 1, "", 0, 0, 0, 0, 5)]
-    batch = spark.createDataFrame(rows, schema).withColumn("content", F.col("content").cast("binary"))
-    root = str(tmp_path / "store")
-    each = live.ingest_batch(root)
-    each(batch, 0)
-    each(batch, 0)
-    each(batch.limit(1), 1)
-    assert live.read_batches(spark, f"{root}/blobs").count() == 1
-    results = live.read_latest(spark, f"{root}/results", corpus.ITEM_KEY)
-    assert {(r["kind"], r["r_error"]) for r in results.collect()} == {
+def _clock_run(spark, root):
+    schema = "k string, id string, now bigint"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    live.run_available(live.live_clock(stream, ["k"]), f"{root}/progress", lambda batch, n: live.write_batch(batch, f"{root}/out", n))
+    return {r["id"]: (r["created_at"], r["code"], r["batch_id"]) for r in live.read_batches(spark, f"{root}/out").collect()}
+
+
+def test_clock_continues_over_batches_and_restarts(spark, tmp_path):
+    """The first address keeps its clock over batches, a restart and a lost earlier output."""
+    root, schema = str(tmp_path), "k string, id string, now bigint"
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    add(("a", "1", 100), ("a", "2", 100), ("a", "3", None), (None, "n", 5), (None, "m", 5))
+    first = _clock_run(spark, root)
+    assert sorted(first[i][0] for i in "12") == [100, 101] and first["3"][0] is None and first["3"][1] is not None
+    assert sorted(first[i][0] for i in "nm") == [5, 6]
+    add(("a", "4", 50), ("b", "5", 7), (None, "o", 1))
+    shutil.rmtree(f"{root}/out/batch_id=0")  # what was published before is not read again
+    then = _clock_run(spark, root)
+    assert [then[i][0] for i in "45o"] == [102, 7, 7] and "1" not in then
+    add(("a", "6", 2147483647), ("b", "7", 9))
+    add(("a", "8", 3), ("b", "9", 9))
+    last = _clock_run(spark, root)
+    assert last["6"][:2] == (2147483647, None) and last["8"][:2] == (None, "CREATED_AT_RANGE")
+    assert sorted(last[i][0] for i in "79") == [9, 10]
+
+
+def test_clock_is_the_loop_in_order_of_arrival():
+    rnd = random.Random(4)
+    rows = [(rnd.choice([5, 5, 6, 90, 200_000, 2147483647]) if k % 9 else None) for k in range(400)]
+    clock, at = live.PublishClock("now"), [None]
+
+    class Last:
+        exists, get, update = (lambda s: at[0] is not None), (lambda s: (at[0],)), (lambda s, v: at.__setitem__(0, v[0]))
+
+    clock.last, got, want, last = Last(), [], [], None
+    for a in range(0, 400, 37):
+        part = rows[a : a + 37]
+        frame = pd.DataFrame({"now": pd.array(part, "Int64"), "created_at": pd.array([None] * len(part), "Int64"), "code": [None if x is not None else "BAD" for x in part]})
+        for out in clock.handleInputRows(("a",), iter([frame[:20], frame[20:]]), None):
+            got += [(None if pd.isna(t) else int(t), c) for t, c in zip(out["created_at"], out["code"])]
+    for now in rows:
+        if now is None:
+            want.append((None, "BAD"))
+            continue
+        t = now if last is None else max(now, last + 1)
+        want.append((t, None) if t <= 2147483647 else (None, "CREATED_AT_RANGE"))
+        last = t if t <= 2147483647 else last
+    assert got == want
+
+
+def test_ingest_goes_on_without_reading_the_store(spark, tmp_path):
+    schema = "region string, kind string, z bigint, x bigint, y bigint, content binary, n_elements bigint, buildings bigint, roads bigint, landuse bigint, at bigint"
+    rows = [("madeira", "dem", 13, 1, 1, b"sea", 0, 0, 0, 0, 5), ("madeira", "dem", 13, 1, 2, b"sea", 0, 0, 0, 0, 5),
+            ("madeira", "features", 13, 1, 1, b"cut", 20000, 1, 1, 1, 5), ("madeira", "ortho", 13, 1, 1, b"", 0, 0, 0, 0, 5)]
+    root = str(tmp_path)
+
+    def take(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        live.ingest(stream, f"{root}/store", f"{root}/progress")
+
+    take(*rows)
+    blobs = lambda: sorted(bytes(r["content"]) for r in live.read_batches(spark, f"{root}/store/blobs").collect())
+    assert blobs() == [b"sea"]
+    shutil.rmtree(f"{root}/store/blobs/batch_id=0")  # only the state knows the first content now
+    take(("azores", "dem", 13, 2, 1, b"sea", 0, 0, 0, 0, 6), ("azores", "dem", 13, 2, 2, b"land", 0, 0, 0, 0, 6), ("azores", "dem", 13, 2, 3, None, 0, 0, 0, 0, 6))
+    assert blobs() == [b"land"]
+    results = live.read_latest(spark, f"{root}/store/results", corpus.ITEM_KEY)
+    assert {(r["kind"], r["r_error"]) for r in results.where("region = 'madeira'").collect()} == {
         ("dem", None), ("features", "element cap reached, tile is incomplete"), ("ortho", "raster tile was empty")}
-    items = corpus.seed(spark.createDataFrame([], "region string, kind string, z bigint, x bigint, y bigint, status string, attempts bigint, last_error string, sha256 string, bytes bigint, buildings bigint, roads bigint, landuse bigint, updated_at bigint"), batch)
-    state = corpus.progress(corpus.apply_results(items, results)).first()
+    items = corpus.seed(spark.createDataFrame([], "region string, kind string, z bigint, x bigint, y bigint, status string, attempts bigint, last_error string, sha256 string, bytes bigint, buildings bigint, roads bigint, landuse bigint, updated_at bigint"), results)
+    state = corpus.progress(corpus.apply_results(items, results)).where("region = 'madeira'").first()
     assert (state["done"], state["failed"], state["total"]) == (2, 2, 4)
+    assert live.read_latest(spark, f"{root}/store/index", ["sha256"]).count() == 2
