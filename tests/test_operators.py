@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import Window as W
 from cartolith.functions import boxes
 from cartolith.operators import corpus, coverage, feed, fieldlog, raster, spatial
 from cartolith.operators.ordered import next_in_block, running_by_block
-from cartolith.operators.quantiles import exact_quantiles
+from cartolith.operators.quantiles import LEVELS, exact_quantiles, ordered_bits
 from cartolith.sources import feature_tiles, radio_logs
 
 rnd = random.Random(7)
@@ -66,6 +68,26 @@ def test_quantiles_equal_percentile_bit_for_bit(spark):
         exact_quantiles(spark.createDataFrame([("a", 1.0), ("a", float("inf"))], "k string, v double"), ["k"], "v", {"m": 0.5}).collect()
 
 
+def test_ordered_bits_are_those_of_the_double(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 1.0, 0.9999999999999999, -1.0, 8.0, 7.999999999999999]
+    values += [math.ldexp(1, e) * f for e in range(-1074, 1023, 7) for f in (1, 1.5, -1)] + [rnd.gauss(0, 1) * 10 ** rnd.randint(-300, 300) for _ in range(2000)]
+    values += [math.nextafter(2.0**e, d) for e in range(-1020, 1023, 5) for d in (0, math.inf)]
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (1 if v > 0 else -1)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.k for r in df.select(ordered_bits(F.col("v")).alias("k")).collect()] == [bits(v) for v in values]
+
+
+def test_quantiles_cut_a_dense_cluster_beside_an_outlier(spark):
+    """20,000 values within a thousandth, half of all in a millionth, and one value far off."""
+    values = [1000 + rnd.random() / 1000 for _ in range(10_000)] + [1000 + rnd.random() / 1_000_000 for _ in range(10_000)] + [1e300, -7.0]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    fractions = {"lo": 0.02, "mid": 0.5, "hi": 0.98, "top": 1.0}
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in fractions.items()])
+    assert exact_quantiles(df, ["k"], "v", fractions).collect() == want.collect()
+    cut = df.groupBy(F.shiftright(ordered_bits(F.col("v")), LEVELS[-1])).count()
+    assert cut.count() > 5000 and cut.agg(F.max("count")).first()[0] < 2500
+
+
 def test_outcomes_of_one_key_count_as_attempts_once(spark):
     items = spark.createDataFrame([("r", "dem", 1, 2, 3, "pending", 0, None, None, None, 0)], "region string, kind string, z bigint, x bigint, y bigint, status string, attempts int, last_error string, sha256 string, bytes bigint, updated_at bigint")
     results = spark.createDataFrame(
