@@ -166,3 +166,26 @@ NOTICE_SURFACE = (
     "stand too tall — measured at +5.54 m in built-up areas — and roads and land "
     "cover drape at roof height. Indicative only."
 )
+
+# Words and texts of a field sheet, part of the results.
+SHEET_WORDS = {
+    "leaf_state": ("in-leaf", "bare", "transitional"),
+    "precip": ("dry", "wet-foliage", "raining"),
+    "wind": ("calm", "moderate", "strong"),
+    "pole_foot": ("soil", "rock", "snow", "other"),
+}
+SHEET_REQUIRED = ("site_id", "operator_id", "date", "node_serial", "antenna_serial", "config_hash")
+SHEET_TEXTS = {
+    "required": "{} is required",
+    "time": "{} is not a valid ISO-8601 time",
+    "window": "window_end_utc must be after window_start_utc",
+    "station_marks": "station_marks must be a positive integer",
+    "pole_mark_m": "pole_mark must be a positive height in metres",
+    "antenna_tilt_deg": "antenna_tilt must be between 0 and 90 degrees",
+    "gnss_lat": "gnss_lat must be a latitude in decimal degrees",
+    "gnss_lon": "gnss_lon must be a longitude in decimal degrees",
+    "gnss_acc_m": "gnss_acc_m must be a non-negative distance in metres",
+    "gnss_scatter_m": "gnss_scatter_m must be a non-negative distance in metres",
+    "word": "{} is not a known value",
+    "photo_count": "photos must be a non-negative count",
+}
