@@ -62,6 +62,13 @@ def write_blobs(blobs: DataFrame, path: str) -> None:
     spread.write.mode("append").partitionBy("shard").parquet(path)
 
 
+def storage_inventory(spark, path: str) -> DataFrame:
+    """(shard, files, file_bytes) of a blob store, listed without reading contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    named = files.groupBy(F.regexp_extract("path", "shard=([^/]+)", 1).alias("shard"))
+    return named.agg(F.count("*").alias("files"), F.sum("length").alias("file_bytes"))
+
+
 def stored_by_hash(store: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored rows of the wanted hashes; only the hash column of ``wanted`` moves."""
     return store.join(wanted.select("sha256").distinct(), "sha256", "left_semi")

@@ -58,12 +58,23 @@ def ladder_coverage(views: DataFrame, max_cells: int = K.MAX_LADDER_CELLS) -> Da
     return rows.drop(*[f"_n{p}" for p in ladder])
 
 
-def nearby(views: DataFrame, tagged: DataFrame, cell: str, max_cells: int = K.MAX_COVER_CELLS):
-    """(matches, too-wide views): items by cell for the views whose cover fits one filter."""
+def nearby(views: DataFrame, tagged: DataFrame, cell: str, collection: str | None = None, limit: int = K.PAGE_LIMIT,
+           max_cells: int = K.MAX_COVER_CELLS, view: str = "view_id"):
+    """(matches, too-wide views): the newest items of each view whose cover fits one filter.
+
+    ``tagged`` holds events with ``kind``, ``created_at``, ``id`` and their cell, once per cell they are tagged with; only
+    item events count, with ``collection`` (an address) only those that name it among their ``a`` tags (``tags``).
+    ``limit`` is the page of a view: the newest ones, lowest id among equals.
+    """
     n = geohash.cover_count(*boxes.EDGES, K.EVENT_PRECISION)
     narrow = views.where(n <= max_cells)
     wide = views.where(n > max_cells).withColumn("cells", n)
-    return spatial.cover_join(narrow, tagged, K.EVENT_PRECISION, cell), wide
+    items = tagged.where(F.col("kind") == K.KIND_ITEM)
+    if collection is not None:
+        items = items.where(F.array_contains(events.tag_values("tags", "a"), collection))
+    found = spatial.cover_join(narrow, items, K.EVENT_PRECISION, cell)
+    # An event tagged with several cells of a view counts once on its page.
+    return newest_per(found.dropDuplicates([view, "id"]), [view], limit), wide
 
 
 # --- relay filters -----------------------------------------------------------------------

@@ -309,18 +309,33 @@ def _sized(v):
     return v.v_views.select("view_id", "west", "south", (F.col("west") + (F.col("east") - F.col("west")) * (1 + F.col("view_id") % 3) / 2.0).alias("east"), "north")
 
 
-@query("c06_nearby", f"""
-SELECT w.view_id, p.event_id FROM (SELECT *, {_COVER} AS n FROM {_SIZED} s) w JOIN v_points p ON {duck.lon_ix('p.lon', 4)} BETWEEN {duck.lon_ix('w.west', 4)} AND {duck.lon_ix('w.east', 4)}
- AND {duck.lat_iy('p.lat', 4)} BETWEEN {duck.lat_iy('w.south', 4)} AND {duck.lat_iy('w.north', 4)} WHERE n <= 128""", "v_views v_points")
+def _nearby(v, **options):
+    name = F.when(F.col("event_id") % 3 == 0, "dem").otherwise("ortho")
+    tags = F.array(F.array(F.lit("a"), events.collection_address(F.lit("aa"), name)))
+    spots = v.v_points.select("event_id", geohash.encode("lat", "lon", 4).alias("g"), tags.alias("tags"))
+    return feed.nearby(_sized(v), _item_feed(v).join(spots, "event_id"), "g", **options)
+
+
+_NEARBY = f"""{_FEED_SQL}, near AS (SELECT w.view_id, it.event_id, row_number() OVER (PARTITION BY w.view_id ORDER BY it.created_at DESC, it.id) AS rn
+ FROM (SELECT *, {_COVER} AS n FROM {_SIZED} s) w JOIN v_points p ON {duck.lon_ix('p.lon', 4)} BETWEEN {duck.lon_ix('w.west', 4)} AND {duck.lon_ix('w.east', 4)}
+ AND {duck.lat_iy('p.lat', 4)} BETWEEN {duck.lat_iy('w.south', 4)} AND {duck.lat_iy('w.north', 4)} JOIN it ON it.event_id = p.event_id WHERE n <= 128 AND it.kind = 30551 """
+
+
+@query("c06_nearby", f"WITH {_NEARBY}) SELECT view_id, event_id FROM near WHERE rn <= 500", "v_views v_points v_feed v_tiles")
+def _(v):
+    """Newest items per view, by cell."""
+    return _nearby(v)[0].select("view_id", "event_id")
+
+
+@query("c06_nearby_collection", f"WITH {_NEARBY} AND it.event_id % 3 = 0) SELECT view_id, event_id FROM near WHERE rn <= 7", "v_views v_points v_feed v_tiles")
 def _(v):
-    tagged = v.v_points.select("event_id", geohash.encode("lat", "lon", 4).alias("g"))
-    return feed.nearby(_sized(v), tagged, "g")[0].select("view_id", "event_id")
+    """The seven newest items per view of one collection."""
+    return _nearby(v, collection=f"{K.KIND_COLLECTION}:aa:dem", limit=7)[0].select("view_id", "event_id")
 
 
 @query("c06_nearby_too_wide", f"SELECT view_id, CAST(n AS BIGINT) AS cells FROM (SELECT *, {_COVER} AS n FROM {_SIZED} s) w WHERE n > 128", "v_views")
 def _(v):
-    tagged = v.v_points.select("event_id", geohash.encode("lat", "lon", 4).alias("g"))
-    return feed.nearby(_sized(v), tagged, "g")[1].select("view_id", "cells")
+    return _nearby(v)[1].select("view_id", "cells")
 
 
 @query("c07_cell_filter", f"SELECT event_id FROM v_feed WHERE kind = 1063 AND {duck.gh('lat', 'lon', 3)} = {duck.gh('48.2e0', '11.5e0', 3)}", "v_feed")

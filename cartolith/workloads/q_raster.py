@@ -192,11 +192,14 @@ def _(v):
     return tall.unionByName(pics.where("height <= 0 OR height IS NULL").select("doc_id", F.lit(0.0).alias("detail")))
 
 
-@query("a18_storage_inventory", "SELECT DISTINCT substr(sha256, 1, 2) AS shard, true AS has_files, true AS has_bytes FROM v_blobs WHERE sha256 IS NOT NULL", "v_blobs")
+@query("a18_storage_inventory", """
+SELECT substr(sha256, 1, 2) AS shard, count(*) AS blobs, CAST(sum(strlen(content)) AS BIGINT) AS bytes, true AS listed
+FROM (SELECT sha256, any_value(content) AS content FROM v_blobs WHERE sha256 IS NOT NULL GROUP BY sha256) b GROUP BY 1""", "v_blobs")
 def _(v):
-    """Files and bytes per folder of a blob store written by this job, listed without reading contents."""
+    """Blobs and bytes per folder, read back from a store written by this job, and whether the listing has the folder."""
     path = work_dir(v.spark, "store")
     corpus.write_blobs(v.v_blobs.where("sha256 IS NOT NULL").select("sha256", "content").dropDuplicates(["sha256"]), path)
-    files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
-    held = files.groupBy(F.regexp_extract("path", "shard=([0-9a-f]+)", 1).alias("shard")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-    return held.select("shard", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+    held = v.spark.read.parquet(path).select(F.substring("sha256", 1, 2).alias("shard"), F.octet_length("content").alias("size"))
+    held = held.groupBy("shard").agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
+    listed = corpus.storage_inventory(v.spark, path).where("files > 0 AND file_bytes > 0").select("shard", F.lit(True).alias("listed"))
+    return held.join(listed, "shard", "full").select("shard", "blobs", "bytes", F.coalesce("listed", F.lit(False)).alias("listed"))

@@ -147,6 +147,29 @@ def test_head_ties_and_forgery(spark):
     assert {(r["pubkey"], r["n"]) for r in feed.heads(df, ["pubkey"]).collect()} == {("p", 2), ("q", 4)}
 
 
+def test_nearby_takes_items_of_a_collection_once_per_view(spark):
+    views = spark.createDataFrame([(1, 9.0, 47.0, 9.4, 47.3), (2, -60.0, -60.0, 60.0, 60.0)], "view_id int, west double, south double, east double, north double")
+    cells = [feed.geohash.encode(F.lit(47.1), F.lit(lon), 4) for lon in (9.1, 9.39)]
+    here, there = spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate(cells)]).first()
+    mine, other = [["a", "30550:p:dem"]], [["a", "30550:p:ortho"]]
+    rows = [("a", 30551, 5, here, mine), ("a", 30551, 5, there, mine), ("b", 30551, 9, here, other), ("c", 30550, 8, here, mine), ("d", 30551, 5, here, mine), ("e", 30551, 7, "zzzz", mine), ("f", 30551, 4, here, mine)]
+    tagged = spark.createDataFrame(rows, "id string, kind int, created_at bigint, g string, tags array<array<string>>")
+    ids = lambda **o: sorted(r.id for r in feed.nearby(views, tagged, "g", **o)[0].collect())
+    assert ids() == ["a", "b", "d", "f"] and ids(limit=2) == ["a", "b"]
+    assert ids(collection="30550:p:dem") == ["a", "d", "f"] and ids(collection="30550:p:dem", limit=1) == ["a"]
+    assert [r.view_id for r in feed.nearby(views, tagged, "g")[1].collect()] == [2]
+
+
+def test_storage_inventory_is_the_listing(spark, tmp_path):
+    blobs = spark.createDataFrame([(f"{k % 5:02x}{k:062x}", bytes(k)) for k in range(300)], "sha256 string, content binary")
+    corpus.write_blobs(blobs, str(tmp_path / "s"))
+    want = {}
+    for f in (tmp_path / "s").rglob("*.parquet"):
+        n, size = want.get(f.parent.name[6:], (0, 0))
+        want[f.parent.name[6:]] = (n + 1, size + f.stat().st_size)
+    assert {r.shard: (r.files, r.file_bytes) for r in corpus.storage_inventory(spark, str(tmp_path / "s")).collect()} == want
+
+
 def test_write_gate_fails_closed(spark):
     df = spark.createDataFrame([("AA",), ("bb",), (None,)], "pubkey string")
     actions = lambda allowed: [r["action"] for r in feed.write_gate(df, allowed).collect()]
