@@ -66,7 +66,7 @@ def test_checked_queries_equal_sql(spark):
 
 
 def test_every_operator_is_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.QUERIES}
     assert "pipeline" in entry_points.queries()
 
 
