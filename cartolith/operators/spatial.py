@@ -9,7 +9,7 @@ lower-left corner of its intersection, so no ``distinct`` is needed afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import boxes
@@ -148,19 +148,122 @@ def multi_polygon_box(polygons) -> Column:
     return ring_box(points)
 
 
-def points_in_polygons(points: DataFrame, shapes: DataFrame, rings: str = "rings", lon="lon", lat="lat"):
-    """Point rows joined to the polygons that hold them.
+#: Cells that hold an edge also take edges this near to them (degrees), so that rounding never moves an edge.
+_PAD = 1e-9
+#: Finest grid of a polygon cover; every second level is used, so that points meet few levels.
+_FINEST = 28
+
+
+def _cover_level(box, n_edges: Column) -> Column:
+    """Grid level on which a polygon of ``n_edges`` is at most four times the root of that number of cells wide."""
+    extent = F.greatest(box["east"] - box["west"], box["north"] - box["south"], F.lit(1e-12))
+    level = F.floor(F.log2(360.0 * 4 * F.sqrt(n_edges.cast("double")) / extent))
+    return (F.floor(F.least(F.greatest(level, F.lit(0)), F.lit(_FINEST)) / 2) * 2).cast("int")
+
+
+def _ring_edges(ring: Column) -> Column:
+    """Every vertex (x1, y1) with the one before it (x2, y2); the first follows the last."""
+    def edge(p, i):
+        q = F.get(ring, F.when(i == 0, F.size(ring) - 1).otherwise(i - 1))
+        return F.struct(p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2"))
+
+    return F.transform(ring, edge)
+
+
+def _leveled(shapes: DataFrame, rings: str) -> DataFrame:
+    """Distinct multi-ring outlines: ``_poly`` (a digest of the rings), their edges and ``_lvl``."""
+    whole = ~F.exists(F.col(rings), lambda r: r.isNull() | F.exists(r, lambda p: F.coalesce(F.isnan(p["lon"] + p["lat"]), F.lit(True))))
+    rows = shapes.where(whole).withColumn("_e", F.flatten(F.transform(F.col(rings), _ring_edges))).where(F.size("_e") > 0)
+    box = ring_box(F.flatten(F.col(rings)))
+    return rows.select("_poly", _cover_level(box, F.size("_e")).alias("_lvl"), "_e")
+
+
+def _columns_of_row(row: Column) -> tuple[Column, Column]:
+    """First and last column that edge ``_edge`` reaches in a row of cells."""
+    x1, y1, x2, y2 = (F.col("_edge")[n] for n in ("x1", "y1", "x2", "y2"))
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+
+    def at(y):
+        y = F.least(F.greatest(y, F.least(y1, y2)), F.greatest(y1, y2))
+        return F.least(F.greatest((x2 - x1) * F.try_divide(y - y1, y2 - y1) + x1, low), high)
+
+    south, north = at(row * F.col("_size") - 90.0 - _PAD), at((row + 1) * F.col("_size") - 90.0 + _PAD)
+    flat = y1 == y2
+    west = F.when(flat, low).otherwise(F.least(south, north))
+    east = F.when(flat, high).otherwise(F.greatest(south, north))
+    return _cell(west - _PAD, 180.0, "_lvl"), _cell(east + _PAD, 180.0, "_lvl")
 
-    The box of each polygon comes from its own rings, so the prefilter always filters.
+
+def polygon_cover(outlines: DataFrame) -> DataFrame:
+    """Cells of each outline: (_poly, _lvl, _cx, _cy, _odd, _edges).
+
+    Border cells carry the edges that reach them, inner cells none. ``_odd`` says whether a ray to the north from the
+    cell's north-east corner crosses an odd number of edges that the cell does not carry; inner cells are odd. A task
+    sees one column of one outline at most, of as many cells as the grid of that outline is high.
     """
-    boxed = shapes.withColumn("_box", ring_box(F.flatten(F.col(rings))))
-    for name in boxes.EDGES:
-        boxed = boxed.withColumn(f"_{name}", F.col(f"_box.{name}"))
-    pairs = point_box_join(
-        points, boxed.drop("_box"), tuple(f"_{n}" for n in boxes.EDGES), lon, lat,
-        condition=inside_polygon(rings, lon, lat),
+    edges = outlines.select("_poly", "_lvl", _size("_lvl").alias("_size"), F.explode("_e").alias("_edge"))
+    y1, y2 = F.col("_edge.y1"), F.col("_edge.y2")
+    first = _cell(F.least(y1, y2) - _PAD, 90.0, "_lvl")
+    rows = edges.withColumn("_first", first)
+    rows = rows.withColumn("_cy", F.explode(F.sequence("_first", _cell(F.greatest(y1, y2) + _PAD, 90.0, "_lvl"))))
+    a, b = _columns_of_row(F.col("_cy"))
+    c0, c1 = _columns_of_row(F.col("_cy") - 1)
+    rows = rows.withColumn("_below", F.when(F.col("_cy") > F.col("_first"), F.struct(c0.alias("a"), c1.alias("b"))))
+    rows = rows.withColumn("_cx", F.explode(F.sequence(a, b)))
+    # The lowest cell of a column that an edge reaches, if the edge passes the column's east side.
+    lowest = F.col("_below").isNull() | ~F.col("_cx").between(F.col("_below.a"), F.col("_below.b"))
+    east = (F.col("_cx") + 1) * F.col("_size") - 180.0
+    passes = (F.col("_edge.x1") > east) != (F.col("_edge.x2") > east)
+    border = rows.groupBy("_poly", "_lvl", "_cx", "_cy").agg(
+        F.collect_list("_edge").alias("_edges"), F.count(F.when(lowest & passes, 1)).alias("_starts")
+    )
+    column = Window.partitionBy("_poly", "_lvl", "_cx").orderBy(F.desc("_cy"))
+    border = border.withColumns({
+        "_above": F.coalesce(F.sum("_starts").over(column.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_next": F.lead("_cy").over(column),
+    })
+    filled = (F.col("_next") < F.col("_cy") - 1) & ((F.col("_above") + F.col("_starts")) % 2 == 1)
+    inner = F.when(filled, F.sequence(F.col("_next") + 1, F.col("_cy") - 1)).otherwise(F.array().cast("array<bigint>"))
+    cells = border.withColumn("_y", F.explode(F.concat(F.array("_cy"), inner)))
+    is_border = F.col("_y") == F.col("_cy")
+    return cells.select(
+        "_poly", "_lvl", "_cx", F.col("_y").alias("_cy"), F.when(is_border, F.col("_above") % 2 == 1).otherwise(True).alias("_odd"),
+        F.when(is_border, F.col("_edges")).otherwise(F.slice("_edges", 1, 0)).alias("_edges"),
     )
-    return pairs.drop(*[f"_{n}" for n in boxes.EDGES])
+
+
+def _inside_cell(lon, lat) -> Column:
+    """Even-odd test by the edges of the point's cell: the ray goes east to the cell's side and then north."""
+    lon, lat = c(lon), c(lat)
+    east = (F.col("_cx") + 1) * _size("_lvl") - 180.0
+
+    def odd(e):
+        straddles = (e["y1"] > lat) != (e["y2"] > lat)
+        at = F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+        first, second = (e["x1"] > east) & (e["y1"] > lat), (e["x2"] > east) & (e["y2"] > lat)
+        return F.coalesce(straddles & (lon < at), F.lit(False)) != (first != second)
+
+    return ((F.size(F.filter("_edges", odd)) % 2) == 1) != F.col("_odd")
+
+
+def points_in_polygons(points: DataFrame, shapes: DataFrame, rings: str = "rings", lon="lon", lat="lat"):
+    """Point rows joined to the polygons that hold them, by the even-odd rule over all rings.
+
+    Polygons become cells: points of an inner cell need no test, those of a border cell meet only the edges that reach
+    the cell. The result is that of `inside_polygon` to the last bit. Outlines that many shapes share are covered once.
+    A polygon with a null ring or vertex holds no point, nor does one without vertices; a null position lies nowhere.
+    """
+    digest = F.sha2(F.to_json(F.struct(F.col(rings).alias("r"))), 256)
+    keyed = shapes.withColumn("_poly", digest)
+    outlines = _leveled(keyed.select("_poly", rings).dropDuplicates(["_poly"]), rings)
+    used = _leveled(keyed, rings).select("_lvl").distinct().agg(F.collect_set("_lvl")).scalar()
+    cells = polygon_cover(outlines).join(keyed, "_poly")
+    cells = cells.withColumnsRenamed({"_lvl": "_clvl", "_cx": "_ccx", "_cy": "_ccy"})
+    at = points.withColumn("_lvl", F.explode(used))
+    at = at.withColumn("_cx", _cell(lon, 180.0, "_lvl")).withColumn("_cy", _cell(lat, 90.0, "_lvl"))
+    on = [F.col("_lvl") == F.col("_clvl"), F.col("_cx") == F.col("_ccx"), F.col("_cy") == F.col("_ccy")]
+    met = at.join(cells, on)
+    return met.where(_inside_cell(lon, lat)).select(*points.columns, *shapes.columns)
 
 
 # --- containment in a fixed list --------------------------------------------------------

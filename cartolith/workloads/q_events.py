@@ -411,7 +411,8 @@ WITH {_TOPICS} SELECT pubkey, name, message, created_at FROM (SELECT pubkey, nam
 def _(v):
     """A newer status without the topic does not hide a presence."""
     topic = events.tag("t", F.when((F.col("slot") > 0) | (F.col("created_at") % 2 == 0), "here").otherwise("elsewhere"))
-    good, _bad = feed.split_integrity(feed.on_topic(_tagged(v, topic).where(F.col("kind") == 30315), "here"))
+    statuses = cut_lineage(_tagged(v, topic).where(F.col("kind") == 30315), "status-table")
+    good, _bad = feed.split_integrity(feed.on_topic(statuses, "here"))
     return feed.newest_presences(good).select("pubkey", "name", "message", "created_at")
 
 

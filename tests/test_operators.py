@@ -56,6 +56,44 @@ def test_point_in_polygon_with_hole(spark):
     assert [r["id"] for r in spatial.points_in_polygons(pts, shapes).collect()] == [2]
 
 
+def _plain_inside(rings, lon, lat):
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[-1:] + ring[:-1]):
+            if (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def test_polygon_cover_equals_the_test_of_every_edge(spark):
+    shape = lambda cx, cy, r, n: [(cx + r * rnd.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), cy + r * rnd.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
+    tangled = [(rnd.uniform(-40, 40), rnd.uniform(-40, 40)) for _ in range(60)]
+    shapes = [
+        [shape(0.0, 0.0, 30.0, 400)], [shape(10.0, 5.0, 20.0, 7), shape(10.0, 5.0, 4.0, 90)], [tangled], [box(-45.0, -22.5, 0.0, 22.5)],
+        [box(0.0, 0.0, 11.25, 11.25), box(5.625, 0.0, 11.25, 5.625)], [shape(3.0, 3.0, 1e-7, 12)], [[(1.0, 1.0)]], [[(-30.0, 7.0), (30.0, 7.0)]],
+        [box(-179.0, -89.0, 179.0, 89.0)], [[]], [], [box(-45.0, -22.5, 0.0, 22.5)], [[(0.0, -40.0), (0.0, 40.0), (1e-12, 40.0), (1e-12, -40.0)]],
+        [[(20 * math.cos(k * math.pi / 500), 20 * math.sin(k * math.pi / 500)) for k in range(1000)]],
+    ]
+    points = [(rnd.uniform(-45, 45), rnd.uniform(-45, 45)) for _ in range(1500)] + [p for s in shapes[:8] for ring in s for p in ring[:40]]
+    points += [(x * 5.625, y * 5.625) for x in range(-8, 9) for y in range(-8, 9)] + [(3.0 + rnd.uniform(-1e-7, 1e-7), 3.0 + rnd.uniform(-1e-7, 1e-7)) for _ in range(200)]
+    points += [(x, rnd.choice(tangled)[1]) for x, _ in tangled] + [(5e-13, 2.0), (180.0, 90.0), (500.0, 0.0)]
+    table = spark.createDataFrame(
+        [(k, [[{"lon": x, "lat": y} for x, y in ring] for ring in rings]) for k, rings in enumerate(shapes)]
+        + [(90, None), (91, [None]), (92, [[{"lon": None, "lat": 1.0}, {"lon": 1.0, "lat": 1.0}]])],
+        "shape int, rings array<array<struct<lon:double,lat:double>>>",
+    )
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(-1, None, 1.0), (-2, 1.0, None)], "id int, lon double, lat double")
+    got = spatial.points_in_polygons(rows, table)
+    assert got.columns == ["id", "lon", "lat", "shape", "rings"]
+    want = sorted((k, n) for k, p in enumerate(points) for n, rings in enumerate(shapes) if _plain_inside(rings, *p))
+    assert sorted((r["id"], r["shape"]) for r in got.select("id", "shape").collect()) == want and len(want) > 3000
+    keyed = table.where("shape = 13").withColumn("_poly", F.lit("a"))
+    cells = spatial.polygon_cover(spatial._leveled(keyed, "rings")).select(F.size("_edges").alias("n")).collect()
+    assert sum(r["n"] == 0 for r in cells) > 500 and max(r["n"] for r in cells) < 40
+    assert spatial.points_in_polygons(rows, table.limit(0)).count() == 0
+
+
 def test_quantiles_equal_percentile_bit_for_bit(spark):
     rows = [("hot", rnd.choice([1e6, rnd.gauss(0, 1), 3.0])) for _ in range(3000)] + [(f"k{i % 7}", float(i)) for i in range(100)]
     rows += [("near", 1000 + rnd.random() / 1000) for _ in range(500)] + [("huge", x) for x in (-1.7e308, 1.7e308, 5e-324, 0.0, -0.0, None)]
