@@ -5,14 +5,16 @@ feature is a vertex count, a class byte (roads and areas), zigzag varint steps o
 4096 grid and, for buildings, the height in decimetres.
 
 Encoding is native: each feature becomes a hex fragment on its own row, fragments of a
-tile are joined and turned into bytes. Decoding a blob is a sequential scan, so it runs on
-Arrow batches of blobs.
+tile are joined and turned into bytes. Decoding runs on Arrow batches of blobs: counts are
+walked one by one, steps are decoded as arrays.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,92 +94,152 @@ def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None =
     return joined.select(*key, blob.alias("content"))
 
 
-class _Scan:
-    """Cursor over the bytes of one blob."""
+#: Bytes of the fixed head, of the longest number, and vertices that an Arrow batch gathers before it is given out.
+_HEAD, _LONGEST, _BATCH_VERTICES = 15, 6, 1 << 17
+_CLASSED = {"road": (K.ROAD_CLASSES, "residential"), "landuse": (K.LANDUSE_CLASSES, "grass")}
+
+
+class _Blob:
+    """Features of one blob: a walk over counts and class bytes only, then all steps decoded as arrays.
+
+    A number ends at the next byte below 128, so the ends of all numbers are known beforehand and the walk jumps over
+    the steps of a feature.
+    """
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 0
+        if len(data) < _HEAD:
+            raise ValueError("truncated")
+        magic, self.z, self.x, self.y, extent = struct.unpack_from("<IBIIH", data)
+        if magic != K.TILE_MAGIC:
+            raise ValueError("not a feature tile")
+        if extent != K.TILE_EXTENT:
+            raise ValueError("unsupported extent")
+        self.data, self.bytes = data, np.frombuffer(data, np.uint8)
+        self.ends = np.flatnonzero(self.bytes < 128)
+        self.at, self.k = _HEAD, int(np.searchsorted(self.ends, _HEAD))
+        self.layer, self.seq, self.kind, self.height, self.vertices = [], [], [], [], []
+        first, place = [], []
+        for layer in LAYERS:
+            for seq in range(self._number()):
+                n, kind, height = self._number(), None, None
+                if layer in _CLASSED:
+                    known, default = _CLASSED[layer]
+                    index = self._class_byte()
+                    kind = known[index] if index < len(known) else default
+                first.append(self.k)
+                place.append(self.at)
+                self._skip(2 * n)
+                if layer == "building":
+                    height = self._number()
+                for column, value in ((self.layer, layer), (self.seq, seq), (self.kind, kind), (self.height, height), (self.vertices, n)):
+                    column.append(value)
+        self.steps = self._steps(np.array(first, np.int64), np.array(place, np.int64), np.array(self.vertices, np.int64))
+
+    def _number(self) -> int:
+        self._skip(1)
+        value = 0
+        for byte in reversed(self.data[self._from : self.at]):
+            value = value << 7 | byte & 127
+        return value
 
-    def fixed(self, n: int) -> int:
-        if self.at + n > len(self.data):
+    def _class_byte(self) -> int:
+        if self.at >= len(self.data):
             raise ValueError("truncated")
-        self.at += n
-        return int.from_bytes(self.data[self.at - n: self.at], "little")
+        value = self.data[self.at]
+        self.at += 1
+        self.k += value < 128
+        return value
+
+    def _skip(self, n: int) -> None:
+        """Move behind ``n`` numbers."""
+        self._from, last = self.at, min(self.k + n, len(self.ends))
+        ends = self.ends[self.k : last]
+        if n and len(ends) and (ends[0] - self.at >= _LONGEST or (len(ends) > 1 and int(np.diff(ends).max()) > _LONGEST)):
+            raise ValueError("varint overflow")
+        if len(ends) < n:
+            rest = int(ends[-1]) + 1 if len(ends) else self.at
+            raise ValueError("varint overflow" if len(self.data) - rest >= _LONGEST else "truncated")
+        if n:
+            self.k, self.at = last, int(ends[-1]) + 1
+
+    def _steps(self, first: np.ndarray, place: np.ndarray, vertices: np.ndarray) -> np.ndarray:
+        """(x, y) of every vertex, features one after another."""
+        count, total = 2 * vertices, int(2 * vertices.sum())
+        if not total:
+            return np.zeros((0, 2), np.int64)
+        begins = np.concatenate(([0], np.cumsum(count)[:-1]))
+        number = np.repeat(first - begins, count) + np.arange(total)
+        end = self.ends[number]
+        start = np.where(number > 0, self.ends[number - 1] + 1, 0)
+        some = count > 0
+        start[begins[some]] = place[some]
+        value = np.zeros(total, np.int64)
+        for k in range(int((end - start).max()) + 1):
+            here = start + k <= end
+            value[here] |= (self.bytes[start[here] + k].astype(np.int64) & 127) << (7 * k)
+        moves = np.cumsum(((value >> 1) ^ -(value & 1)).reshape(-1, 2), axis=0)
+        # Sums run over all features, so each feature takes off what the ones before it moved.
+        before = np.concatenate((np.zeros((1, 2), np.int64), moves))[begins // 2]
+        return moves - np.repeat(before, vertices, axis=0)
+
 
-    def varint(self) -> int:
-        value = 0
-        for shift in range(0, 42, 7):
-            byte = self.fixed(1)
-            value |= (byte & 127) << shift
-            if byte < 128:
-                return value
-        raise ValueError("varint overflow")
-
-    def steps(self, n: int) -> list[tuple[int, int]]:
-        x = y = 0
-        out = []
-        for _ in range(n):
-            dx, dy = self.varint(), self.varint()
-            x += (dx >> 1) ^ -(dx & 1)
-            y += (dy >> 1) ^ -(dy & 1)
-            out.append((x, y))
-        return out
-
-
-def _features(data: bytes) -> list[dict]:
-    scan = _Scan(data)
-    if scan.fixed(4) != K.TILE_MAGIC:
-        raise ValueError("not a feature tile")
-    z, x, y = scan.fixed(1), scan.fixed(4), scan.fixed(4)
-    if scan.fixed(2) != K.TILE_EXTENT:
-        raise ValueError("unsupported extent")
-    names = {"road": (K.ROAD_CLASSES, "residential"), "landuse": (K.LANDUSE_CLASSES, "grass")}
-    rows = []
-    for layer in LAYERS:
-        for seq in range(scan.varint()):
-            n = scan.varint()
-            row = {"z": z, "x": x, "y": y, "layer": layer, "seq": seq, "class": None, "height_dm": None}
-            if layer in names:
-                known, default = names[layer]
-                index = scan.fixed(1)
-                row["class"] = known[index] if index < len(known) else default
-            row["steps"] = [{"qx": a, "qy": b} for a, b in scan.steps(n)]
-            if layer == "building":
-                row["height_dm"] = scan.varint()
-            rows.append(row)
-    return rows
-
-
-_RAW = pa.schema([
-    ("z", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("layer", pa.string()), ("seq", pa.int64()),
-    ("class", pa.string()), ("height_dm", pa.int64()),
-    ("steps", pa.list_(pa.struct([("qx", pa.int64()), ("qy", pa.int64())]))), ("error", pa.string()),
-])
 _RAW_DDL = (
     "z bigint, x bigint, y bigint, layer string, seq bigint, class string, height_dm bigint, "
     "steps array<struct<qx:bigint,qy:bigint>>, error string"
 )
 
 
+def _lists(blobs: list[_Blob]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([n for b in blobs for n in b.vertices]))).astype(np.int32)
+    xy = np.concatenate([b.steps for b in blobs] or [np.zeros((0, 2), np.int64)])
+    pairs = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["qx", "qy"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
+def _given_out(batch: pa.RecordBatch, good: list[tuple[int, _Blob]], bad: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+    names = ["z", "x", "y", "layer", "seq", "class", "height_dm", "steps", "error"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), None, pa.string()]
+    blobs = [b for _, b in good]
+    tile = [[getattr(b, n) for b in blobs for _ in b.vertices] for n in ("z", "x", "y")]
+    own = [[v for b in blobs for v in getattr(b, n)] for n in ("layer", "seq", "kind", "height")]
+    n, m = len(tile[0]), len(bad)
+    values = [pa.array(column + [None] * m, kind) for column, kind in zip(tile + own, types)]
+    steps = _lists(blobs)
+    values.append(pa.concat_arrays([steps, pa.nulls(m, steps.type)]))
+    values.append(pa.array([None] * n + [error for _, error in bad], pa.string()))
+    source = pa.array([k for k, b in good for _ in b.vertices] + [k for k, _ in bad], pa.int64())
+    kept = [batch.column(k).take(source) for k in range(1, batch.num_columns)]
+    yield pa.RecordBatch.from_arrays(values + kept, names + batch.schema.names[1:])
+
+
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the first column's blobs; the other columns go with each feature and each error."""
     for batch in batches:
-        rows: list[dict] = []
-        for data in batch.column(0):
+        good, bad, held = [], [], 0
+        for k, data in enumerate(batch.column(0)):
             try:
-                rows.extend(_features(data.as_py() or b""))
+                good.append((k, _Blob(data.as_py() or b"")))
+                held += len(good[-1][1].steps) + len(good[-1][1].vertices)
             except ValueError as error:
-                rows.append({"error": str(error)})
-        yield pa.RecordBatch.from_pylist(rows, schema=_RAW)
+                bad.append((k, str(error)))
+            if held >= _BATCH_VERTICES:
+                yield from _given_out(batch, good, bad)
+                good, bad, held = [], [], 0
+        if good or bad:
+            yield from _given_out(batch, good, bad)
 
 
-def decode(blobs: DataFrame, content: str = "content") -> DataFrame:
+def decode(blobs: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """Feature rows of many blobs; a blob that cannot be read is a row with ``error``.
 
-    Python only finds the grid positions; they become coordinates in the JVM.
+    ``keep`` names columns of ``blobs`` that every row carries, an error's too, so a bad blob is known by its key; they
+    must not be called like a column of a feature. A null blob counts as an empty one and is ``truncated``. Python only
+    finds the grid positions; they become coordinates in the JVM.
     """
-    raw = blobs.select(content).mapInArrow(_scan_batches, _RAW_DDL)
+    kept = "".join(f", `{n}` {blobs.schema[n].dataType.simpleString()}" for n in keep)
+    raw = blobs.select(content, *keep).mapInArrow(_scan_batches, _RAW_DDL + kept)
     raw = raw.withColumn("_box", tiles.tile_box("z", "x", "y"))
     line = F.transform("steps", lambda s: tiles.restore(s["qx"], s["qy"], F.col("_box")))
     return raw.select(
-        "z", "x", "y", "layer", "seq", "class", (F.col("height_dm") / 10.0).alias("height_m"), line.alias("line"), "error"
+        "z", "x", "y", "layer", "seq", "class", (F.col("height_dm") / 10.0).alias("height_m"), line.alias("line"), "error", *keep
     )

@@ -297,6 +297,49 @@ def test_golden_feature_tile(spark):
     assert feature_tiles.decode(feature_tiles.encode(many)).count() == 24_000
 
 
+def _varint(value):
+    out = []
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes(out + [value])
+
+
+def _plain_blob(buildings, roads):
+    """Bytes of a tile with ``buildings`` (steps, height) and ``roads`` (class byte, steps)."""
+    zigzag = lambda steps: b"".join(_varint(2 * d if d >= 0 else -2 * d - 1) for step in steps for d in step)
+    out = bytes.fromhex(GOLDEN)[:15] + _varint(len(buildings))
+    out += b"".join(_varint(len(s)) + zigzag(s) + _varint(h) for s, h in buildings) + _varint(len(roads))
+    return out + b"".join(_varint(len(s)) + bytes([c]) + zigzag(s) for c, s in roads) + b"\0"
+
+
+def test_scan_of_random_and_broken_tiles(spark, monkeypatch):
+    steps = lambda n: [(rnd.choice([0, -1, 70, rnd.randint(-5000, 5000)]), rnd.randint(-200, 200)) for _ in range(n)]
+    tiles = {}
+    for k in range(40):
+        tiles[f"t{k}"] = ([(steps(rnd.randint(0, 9)), rnd.randint(0, 70000)) for _ in range(rnd.randint(0, 5))], [(rnd.choice([0, 3, 127, 128, 255]), steps(rnd.randint(0, 200))) for _ in range(rnd.randint(0, 5))])
+    rows = [(bytearray(_plain_blob(*t)), name) for name, t in tiles.items()]
+    golden = bytes.fromhex(GOLDEN)
+    broken = {f"cut{n}": golden[:n] for n in range(len(golden))} | {"null": None, "magic": b"x" + golden[1:], "extent": golden[:14] + b"\x11" + golden[15:], "long": golden[:15] + b"\xff" * 6 + b"\x01"}
+    rows += [(None if b is None else bytearray(b), name) for name, b in broken.items()]
+    out = feature_tiles.decode(spark.createDataFrame(rows, "content binary, name string"), keep=("name",)).collect()
+    errors = {r["name"]: r["error"] for r in out if r["error"]}
+    assert set(errors) == set(broken) and all(e in ("truncated", "not a feature tile", "unsupported extent", "varint overflow") for e in errors.values())
+    assert (errors["magic"], errors["extent"], errors["long"], errors["cut20"]) == ("not a feature tile", "unsupported extent", "varint overflow", "truncated")
+    got = {(r["name"], r["layer"], r["seq"]): r for r in out if not r["error"]}
+    assert len(got) == sum(len(b) + len(r) for b, r in tiles.values())
+    span = 360.0 / 2**14
+    for name, (buildings, roads) in tiles.items():
+        for layer, own in (("building", [s for s, _ in buildings]), ("road", [s for _, s in roads])):
+            for seq, moves in enumerate(own):
+                lons, x = [], 0
+                for dx, _ in moves:
+                    x += dx
+                    lons.append(8698 * span - 180 + x / 4096 * span)
+                assert np.allclose([p["lon"] for p in got[name, layer, seq]["line"]], lons, atol=1e-9)
+        assert [got[name, "building", k]["height_m"] for k in range(len(buildings))] == [h / 10 for _, h in buildings]
+
+
 # --- radio logs -----------------------------------------------------------------------------------------
 
 HEAD = "time,from,sender name,sender lat,sender long,rx lat,rx long,rx elevation,rx snr,distance,hop limit,payload,rx rssi"
