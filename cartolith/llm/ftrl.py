@@ -48,8 +48,8 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
-def per_class_sample(rows: DataFrame, label: str, per_class: int, classes: int | None = None) -> tuple[DataFrame, dict]:
-    """Rows of about ``per_class`` ids of each label, chosen by a hash of ``doc_id``, and the number of rows of each.
+def per_class_sample(rows: DataFrame, label: str, per_class: int, classes: int | None = None, by: tuple = ("doc_id",)) -> tuple[DataFrame, dict]:
+    """Rows of about ``per_class`` ids of each label, chosen by a hash of ``by``, and the number of rows of each.
 
     With ``classes``, only of that many commonest labels, and twice the expected number is the hard bound; that goes
     through one task, so it is for rows without texts.
@@ -60,7 +60,7 @@ def per_class_sample(rows: DataFrame, label: str, per_class: int, classes: int |
     if not counts:
         return rows.limit(0), counts
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, per_class / n)))[F.col(label)]
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
     return chosen if classes is None else chosen.limit(2 * per_class * len(counts)), counts
 
 

@@ -2,12 +2,13 @@
 
 Inverse document frequencies are counted over all training documents, summed per task and merged by bucket. Weights
 are trained with follow-the-regularised-leader under an elastic net on a bounded sample (about `PER_LANGUAGE` documents
-of every language, whole texts), and the temperature of the softmax is fitted on a fifth of it. Scoring adds one table
-row per n-gram and never needs a document's distinct n-grams, since term frequencies are relative to the text's length.
+of every language, whole texts), and the temperature of the softmax is fitted on at most a fifth of it. Scoring adds one
+table row per n-gram and never needs a document's distinct n-grams, since term frequencies are relative to the text's length.
 
-Up to `JOINT` languages share one softmax, trained on the driver. More are dealt into blocks of `BLOCK_LANGUAGES`, each
-trained by a task on its own documents and as many of the others, which are its class "other"; a language's score is its
-logit less that of its block's "other". The driver then gets the weights that are not zero and `CALIBRATED` documents.
+Languages are dealt into blocks of `BLOCK_LANGUAGES`, whatever their number. Each block is trained by a task on its own
+documents and, where there are other blocks, on as many of the others, which are its class "other"; a language's score is
+its logit less that of its block's "other". The driver gets the weights that are not zero and about `CALIBRATED` documents.
+A single block is scored from a table with a row per language, which gives the same sums.
 
 Nulls and odd rows: a null text and a text without a letter are ``und`` with score 0; rows with a null ``doc_id``
 or ``lang`` are scored but teach nothing; without any training row everything is ``und`` and `keep_known` keeps
@@ -30,8 +31,8 @@ from cartolith.llm.ftrl import Ftrl, epochs, fold, per_class_sample, softmax
 
 ORDERS, BITS = (1, 2, 3), 17
 PER_LANGUAGE = 1500
-#: Languages that one softmax holds at most; of a block beyond that; documents that the temperature is fitted on then.
-JOINT, BLOCK_LANGUAGES, CALIBRATED = 100, 16, 4000
+#: Languages of a block, and documents that the temperature is fitted on.
+BLOCK_LANGUAGES, CALIBRATED = 16, 4000
 #: Scores, and weights to be added, that are held at a time.
 HELD = 1 << 22
 FOLDS, HELD_OUT = 4, 2
@@ -72,6 +73,12 @@ class Blocks:
     def logits(self, sums: np.ndarray) -> np.ndarray:
         return sums[:, : self.languages] - sums[:, self.languages + self.block]
 
+    def dense(self) -> np.ndarray:
+        """The same weights as a row of all features per language."""
+        table = np.zeros((1 << BITS, self.width))
+        table[np.repeat(np.arange(1 << BITS), np.diff(self.start)), self.column] = self.weight
+        return np.ascontiguousarray(self.logits(table).T)
+
 
 class Model:
     """``table`` is a row of weights per language, or `Blocks`; then ``bias`` is less that of the block's "other"."""
@@ -148,9 +155,9 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss)) if len(truth) else 1.0
 
 
-def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: np.ndarray) -> Model:
+def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: np.ndarray, block_languages: int) -> Model:
     """Blocks of languages trained by the executors; ``expected`` is about the number of rows of ``sample``."""
-    n_blocks = -(-len(languages) // BLOCK_LANGUAGES)
+    n_blocks = -(-len(languages) // block_languages)
     block = np.arange(len(languages)) % n_blocks
     number = {x: k for k, x in enumerate(languages)}
     shared = sample.sparkSession.sparkContext.broadcast((number, idf))
@@ -160,16 +167,17 @@ def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: n
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every document for its own block, and for another one as a document of no language of that block."""
         for batch in _vectors(batches):
-            ids = batch.column("doc_id").to_pylist()
+            ids, n = batch.column("doc_id").to_pylist(), batch.num_rows
             own = np.array([shared.value[0][x] for x in batch.column("lang").to_pylist()], np.int64)
-            other = np.array([zlib.crc32(b"%d" % i) for i in ids], np.int64) % (n_blocks - 1)
-            n = len(ids)
-            twice = pa.array(np.tile(np.arange(n), 2))
+            blocks, targets, source = [own % n_blocks], [own // n_blocks], [np.arange(n)]
+            if n_blocks > 1:
+                other = np.array([zlib.crc32(b"%d" % i) for i in ids], np.int64) % (n_blocks - 1)
+                blocks.append((own + 1 + other) % n_blocks)
+                targets.append(np.full(n, -1))
+                source.append(np.arange(n))
+            take = pa.array(np.concatenate(source))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([own % n_blocks, (own + 1 + other) % n_blocks])), pa.array(np.concatenate([own // n_blocks, np.full(n, -1)])),
-                    *(batch.column(c).take(twice) for c in ("doc_id", "at", "tf")),
-                ],
+                [pa.array(np.concatenate(blocks)), pa.array(np.concatenate(targets)), *(batch.column(c).take(take) for c in ("doc_id", "at", "tf"))],
                 ["block", "target", "doc_id", "at", "tf"],
             )
 
@@ -178,7 +186,9 @@ def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: n
         members = np.flatnonzero(block == k)
         model = Ftrl(1 << BITS, len(members) + 1, alpha=0.3, l1=0.02, l2=0.01)
         eye, target, at, tf = np.eye(len(members) + 1), group.column("target").to_numpy(), group.column("at"), group.column("tf")
-        order = np.lexsort((target, group.column("doc_id").to_numpy()))
+        # Rows that share an id go in the order of their vectors, so that a model depends on the rows alone.
+        digest = np.array([zlib.crc32(a.values.to_numpy().tobytes() + b.values.to_numpy().tobytes()) for a, b in zip(at, tf)])
+        order = np.lexsort((digest, target, group.column("doc_id").to_numpy()))
         for i in epochs(order, 2):
             features = at[int(i)].values.to_numpy()
             model.step(features, tf[int(i)].values.to_numpy() * shared.value[1][features] * SCALE, eye[target[i]], softmax)
@@ -204,10 +214,10 @@ def _train_blocks(sample: DataFrame, languages: list[str], expected: int, idf: n
         weights.add(sums, np.full(len(at), k), at.astype(np.int64), tf.values.to_numpy() * idf[at] * SCALE)
     temperature = _temperature(weights.logits(sums) + bias, truth)
     weights.weight = weights.weight * np.repeat(idf, np.diff(weights.start))
-    return Model(languages, weights, bias, temperature)
+    return Model(languages, weights.dense() if n_blocks == 1 else weights, bias, temperature)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, block_languages: int = BLOCK_LANGUAGES) -> Model:
     """Learn from text and ``lang`` of the documents outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(FOLDS) != HELD_OUT))
@@ -216,27 +226,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     total = table.pop(-1, 0)
     idf = np.full(1 << BITS, np.log(1 + total) + 1)
     idf[list(table)] = np.log((1 + total) / (1 + np.array(list(table.values()), float))) + 1
-    sample, counts = per_class_sample(rows, "lang", per_language)
+    # Chosen by id and text, and copies once, so an id that very many rows share doesn't fill the sample.
+    sample, counts = per_class_sample(rows, "lang", per_language, by=("doc_id", "text"))
+    sample = sample.dropDuplicates(["doc_id", "lang", "text"])
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 1.0)
-    if len(languages) > JOINT:
-        return _train_blocks(sample, languages, sum(min(per_language, n) for n in counts.values()), idf)
-    found = sample.mapInArrow(_vectors, "doc_id bigint, lang string, at array<int>, tf array<float>").toArrow()
-    number = {x: k for k, x in enumerate(languages)}
-    examples = []
-    for doc, lang, at, tf in sorted(zip(*(found.column(c) for c in ("doc_id", "lang", "at", "tf"))), key=lambda r: r[0].as_py()):
-        at = at.values.to_numpy()
-        examples.append((at, tf.values.to_numpy() * idf[at] * SCALE, number[lang.as_py()]))
-    model = Ftrl(1 << BITS, len(languages), alpha=0.3, l1=0.02, l2=0.01)
-    fit, rest = [e for k, e in enumerate(examples) if k % 5], examples[::5]
-    eye = np.eye(len(languages))
-    for at, value, target in epochs(fit, 2):
-        model.step(at, value, eye[target], softmax)
-    weights = model.weights()
-    logits = np.array([v @ weights[at] + model.bias for at, v, _ in rest])
-    truth = np.array([t for *_, t in rest])
-    return Model(languages, np.ascontiguousarray((weights * idf[:, None]).T), model.bias, _temperature(logits, truth))
+    return _train_blocks(sample, languages, sum(min(per_language, n) for n in counts.values()), idf, block_languages)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,7 +3,8 @@
 A rule names a host, with all its subdomains, and a path prefix; the longest that fits wins. URLs that a rule decides
 are the labelled ones: boosted trees learn from at most `SAMPLE` of them what allowed and blocked URLs look like
 (lengths, depth, digit and sign ratios, entropy, parameters, statistics of the host's suffix), and decide where no
-rule fits. Suffix statistics count blocked and labelled URLs over all rows in a fixed number of buckets.
+rule fits. Suffix statistics count blocked and labelled URLs over all rows in a fixed number of buckets. A labelled URL
+gets them from the folds that it isn't in, so its own label is no part of its features; other URLs get them from all folds.
 
 Nulls and odd rows: a null URL or one without ``://`` has an empty host and path and no rule; a null ``page_id``
 stays null; repeated rows are judged each; without URLs of both verdicts the trees' verdict is the one verdict there
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 ALLOW, BLOCK = "allow", "block"
 #: Labelled URLs that the trees are fitted on, at most, and buckets of suffix statistics.
 SAMPLE, SUFFIX_BUCKETS = 6000, 1024
+#: Folds of the suffix statistics, by a hash of the URL.
+FOLDS = 5
 _SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789-._/?&=#%:~+"
 
 
@@ -69,6 +72,11 @@ def suffix_bucket(host: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
+def url_fold() -> Column:
+    """Fold of a URL; copies share it."""
+    return F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 FEATURES = [
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "signs", "fragment", "secure", "first_part",
     "ending", "suffix_share", "suffix_count",
@@ -82,17 +90,27 @@ def with_features(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", ruled).withColumn("bucket", suffix_bucket(F.col("host")))
-    stats = (
-        rows.where("ruled IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ruled") == BLOCK, 1)).alias("blocked"))
-    )
-    # One row per bucket at most: the statistics become two arrays of the program.
-    share, number = [0.5] * SUFFIX_BUCKETS, [0.0] * SUFFIX_BUCKETS
-    for r in stats.collect():
-        share[r["bucket"]], number[r["bucket"]] = (r["blocked"] + 1) / (r["n"] + 2), float(r["n"].bit_length())
-    known = {k: (s, n) for k, (s, n) in enumerate(zip(share, number)) if n}
-    pick = lambda j, none: F.coalesce(F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v[j])))[F.col("bucket")], F.lit(none)) if known else F.lit(none)
+    rows = rows.withColumn("slot", F.when(F.col("ruled").isNotNull(), url_fold()).otherwise(FOLDS))
+    found = rows.where("ruled IS NOT NULL").groupBy("bucket", "slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == BLOCK).alias("blocked"))
+    table, total = {}, {}
+    for r in found.collect():  # a row per bucket and fold at most
+        table[r["bucket"], r["slot"]] = (r["n"], r["blocked"])
+        n, blocked = total.get(r["bucket"], (0, 0))
+        total[r["bucket"]] = (n + r["n"], blocked + r["blocked"])
+    stats = []
+    for bucket, (n, blocked) in total.items():
+        for slot in range(FOLDS + 1):
+            own, own_blocked = table.get((bucket, slot), (0, 0))
+            stats.append((bucket, slot, (blocked - own_blocked + 1) / (n - own + 2), float((n - own).bit_length())))
+    # Bounded by the number of buckets and folds.
+    shares = F.broadcast(pages.sparkSession.createDataFrame(stats, "bucket int, slot int, share double, number double"))
+    rows = rows.join(shares, ["bucket", "slot"], "left")
     values = lexical(F.col("url"), F.col("host"), F.col("path"))
-    return rows.select("page_id", "url", "host", "path", "rule", "ruled", *(v.alias(k) for k, v in values.items()), pick(0, 0.5).alias("suffix_share"), pick(1, 0.0).alias("suffix_count"))
+    return rows.select(
+        "page_id", "url", "host", "path", "rule", "ruled", *(v.alias(k) for k, v in values.items()),
+        F.coalesce("share", F.lit(0.5)).alias("suffix_share"),
+        F.coalesce("number", F.lit(0.0)).alias("suffix_count"),
+    )
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> GBTClassificationModel | str:
@@ -102,7 +120,8 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> GBTClassificationModel | str
     if len(counts) < 2:
         return next(iter(counts), ALLOW)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, sample / 2 / n)))[F.col("ruled")]
-    chosen = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample)
+    order = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    chosen = labelled.where(order < share * (1 << 30)).orderBy(order, "page_id", "url").limit(2 * sample)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen.withColumn("label", (F.col("ruled") == BLOCK).cast("double")))
     trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, seed=7, subsamplingRate=1.0)
     return trees.fit(vectors.select("features", "label").repartition(6))
