@@ -7,8 +7,8 @@ suffix positions sampled every few words. All windows are searched backwards at
 occurrences are located by walking to the next sampled suffix, and their spans are merged per document. Documents
 never leave their task, so nothing is shuffled until (document, items) digests are made.
 
-Windows reach the tasks in blocks of at most `BLOCK_WINDOWS`; a larger benchmark is searched in several passes
-over the same rows, each adding to the spans found so far.
+Windows reach the tasks in blocks of about `BLOCK_WINDOWS`. A shard's words meet one block after the other in the same
+worker, which holds one block at a time; documents are read once, however many blocks there are.
 
 Nulls and odd rows: a null or wordless text has no words and is never contaminated; a null benchmark text has no
 window; a null ``item_id`` reads as the text ``null``; repeated rows are judged each for itself; an empty
@@ -177,62 +177,60 @@ def _shard_hits(windows: Windows, numbers: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) if c else none for c in found)
 
 
-def _scan(blocks: list, last: bool):
-    """A pass over documents with the windows of one block; ``blocks`` holds its broadcast."""
+def _block_hits(windows: Windows, words: list[list[bytes]], base: np.ndarray) -> list[np.ndarray]:
+    """(start, end, item set) of one block's windows in the documents of a shard, document ``d`` lying at ``base[d]``."""
+    numbers, get = np.zeros(int(base[-1]), np.int64), windows.number.get
+    for at, found in zip(base, words):
+        numbers[at : at + len(found)] = np.fromiter(map(get, found, repeat(0)), np.int64, len(found))
+    hits = [[], [], []]
+    # A stretch longer than a shard is searched in parts that overlap by one word less than a window.
+    for at in range(0, len(numbers), SHARD_WORDS):
+        start, end, sets = _shard_hits(windows, numbers[at : at + SHARD_WORDS + WINDOW - 1])
+        for column, values in zip(hits, (start + at, end + at, sets)):
+            column.append(values)
+    return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in hits]
+
+
+def _scan(blocks: list):
+    """One pass over documents with the windows of all ``blocks`` (broadcasts): every shard meets block after block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = blocks[0].value
-        get = windows.number.get
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(texts), SHARD_DOCS):
-                yield from _shards(windows, get, ids.slice(a, SHARD_DOCS), texts.slice(a, SHARD_DOCS), batch, a)
+                yield from _shards(ids.slice(a, SHARD_DOCS), texts.slice(a, SHARD_DOCS))
 
-    def _shards(windows, get, ids, texts, batch, a):
-        begun, kept, held = 0, [], 0
+    def _shards(ids, texts):
+        begun, words, held = 0, [], 0
         for k in range(len(texts)):
-            words = words_of(texts[k].as_py())
-            kept.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-            held += len(words)
+            words.append(words_of(texts[k].as_py()))
+            held += len(words[-1])
             if held >= SHARD_WORDS or k + 1 == len(texts):
-                old = [(batch.column(c).slice(a + begun, k + 1 - begun)) for c in ("spans", "sets")]
-                yield _answer(windows, ids.slice(begun, k + 1 - begun), texts.slice(begun, k + 1 - begun), kept, *old)
-                begun, kept, held = k + 1, [], 0
+                yield _answer(ids.slice(begun, k + 1 - begun), words)
+                begun, words, held = k + 1, [], 0
 
-    def _answer(windows, ids, texts, kept, old_spans, old_sets):
-        size = np.array([len(x) for x in kept], np.int64)
+    def _answer(ids, words):
+        size = np.array([len(x) for x in words], np.int64)
         base = np.concatenate(([0], np.cumsum(size + 1)))
-        numbers = np.zeros(int(base[-1]), np.int64)
-        for b, x in zip(base, kept):
-            numbers[b : b + len(x)] = x
-        hits = [[], [], []]
-        # A stretch longer than a shard is searched in parts that overlap by one word less than a window.
-        for b in range(0, len(numbers), SHARD_WORDS):
-            start, end, sets = _shard_hits(windows, numbers[b : b + SHARD_WORDS + WINDOW - 1])
-            for column, values in zip(hits, (start + b, end + b, sets)):
+        hits = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for block in blocks:
+            for column, values in zip(hits, _block_hits(block.value, words, base)):
                 column.append(values)
-        start, end, sets = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in hits)
-        in_doc = np.searchsorted(base, start, "right") - 1
-        pairs = np.unique(np.stack((in_doc, sets)), axis=1)
-        for d, spans in enumerate(old_spans.to_pylist()):
-            if spans:
-                start = np.append(start, base[d] + np.array([s["start"] for s in spans], np.int64))
-                end = np.append(end, base[d] + np.array([s["end"] for s in spans], np.int64))
-        for d, found in enumerate(old_sets.to_pylist()):
-            if found:
-                pairs = np.concatenate((pairs, np.stack((np.full(len(found), d), np.array(found, np.int64)))), axis=1)
-        pairs = np.unique(pairs, axis=1)
+            if len(blocks) > 1:
+                # A broadcast keeps what it has loaded; without this a worker would hold all blocks at once.
+                vars(block).pop("_value", None)
+        start, end, sets = map(np.concatenate, hits)
+        pairs = np.unique(np.stack((np.searchsorted(base, start, "right") - 1, sets)), axis=1)
         start, end = merge_spans(start, end)
         in_doc = np.searchsorted(base, start, "right") - 1
-        cut = lambda of: np.searchsorted(of, np.arange(len(kept) + 1)).astype(np.int32)
+        cut = lambda of: np.searchsorted(of, np.arange(len(words) + 1)).astype(np.int32)
         spans = pa.StructArray.from_arrays([pa.array(start - base[in_doc]), pa.array(end - base[in_doc])], ["start", "end"])
         return pa.RecordBatch.from_arrays(
             [
-                ids, pa.nulls(len(ids), pa.string()) if last else texts, pa.array(size),
-                pa.ListArray.from_arrays(pa.array(cut(in_doc)), spans),
+                ids, pa.array(size), pa.ListArray.from_arrays(pa.array(cut(in_doc)), spans),
                 pa.ListArray.from_arrays(pa.array(cut(pairs[0])), pa.array(pairs[1])),
             ],
-            ["doc_id", "text", "n_words", "spans", "sets"],
+            ["doc_id", "n_words", "spans", "sets"],
         )
 
     return run
@@ -260,21 +258,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     (set_id, item) with the items of each set. Windows that the same items hold share a set."""
     spark = docs.sparkSession
     windows = cut_lineage(benchmark_windows(benchmark), "windows")
-    # Sets are told apart by two order-free hashes and a count of their items, so no set is ever gathered in a row.
+    # Sets are told apart by two order-free hashes and a count of their items, so no set is ever gathered in a row. The
+    # second hash starts from a constant; appended to the item it would only be a function of the first one.
+    hashes = ["n", "a", "b"]
     per_window = windows.groupBy("window").agg(
-        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(item))").alias("a"), F.expr("bit_xor(xxhash64(item, 1))").alias("b")
-    ).select("window", F.xxhash64("n", "a", "b").alias("set_id"))
-    per_window = cut_lineage(per_window, "window-sets")
-    blocks = max(1, -(-per_window.count() // BLOCK_WINDOWS))
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("sets"),
+        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(item))").alias("a"), F.expr("bit_xor(xxhash64(1, item))").alias("b")
     )
-    schema = "doc_id bigint, text string, n_words bigint, spans array<struct<start:bigint,end:bigint>>, sets array<bigint>"
+    per_window = cut_lineage(per_window, "window-hashes")
+    numbers = cut_lineage(per_window.select(hashes).distinct().withColumn("set_id", F.monotonically_increasing_id()), "window-numbers")
+    per_window = cut_lineage(per_window.join(numbers, hashes).select("window", "set_id"), "window-sets")
+    blocks, shared = max(1, -(-per_window.count() // BLOCK_WINDOWS)), []
     for block in range(blocks):
         part = per_window.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Windows([(r["window"], r["set_id"]) for r in part]))
-        rows = rows.mapInArrow(_scan([shared], block + 1 == blocks), schema)
+        shared.append(spark.sparkContext.broadcast(Windows([(r["window"], r["set_id"]) for r in part])))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, sets array<bigint>"
+    rows = rows.mapInArrow(_scan(shared), schema)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     found = rows.select("doc_id", "n_words", hit.alias("n_hit"), "spans", F.array_sort("sets").alias("sets"))
     set_items = windows.join(per_window, "window").select("set_id", "item").distinct()

@@ -173,6 +173,8 @@ def test_contamination(which, block, request, monkeypatch, benchmark, spark):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 5000)
     want = _contamination(_rows(df, "doc_id", "text"), _rows(benchmark, "item_id", "text"))
     assert sorted(map(str, _rows(decontaminate.contamination_report(df, benchmark), *NAMES))) == sorted(map(str, want))
+    plan = decontaminate.contamination(df, benchmark)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # however many blocks
     assert which == "empty" or any(r[-1] for r in want)
     clean = decontaminate.remove_contaminated(df, benchmark)
     rows = _rows(df, "doc_id", "text")
