@@ -4,8 +4,8 @@ Layout: magic, zoom, column, row and extent, then per layer a count and its feat
 feature is a vertex count, a class byte (roads and areas), zigzag varint steps on the
 4096 grid and, for buildings, the height in decimetres.
 
-Encoding is native: each feature becomes a hex fragment on its own row, fragments of a
-tile are joined and turned into bytes. Decoding runs on Arrow batches of blobs: counts are
+Encoding is native: each feature becomes a binary fragment on its own row, fragments are appended by
+(tile, layer, part of the order), and parts by tile. Decoding runs on Arrow batches of blobs: counts are
 walked one by one, steps are decoded as arrays.
 """
 
@@ -23,6 +23,7 @@ from cartolith import constants as K
 from cartolith.functions import osm, tiles
 from cartolith.functions._c import c
 from cartolith.operators.features import grid_steps
+from cartolith.session import cut_lineage
 
 LAYERS = ("building", "road", "landuse")
 DECODED = (
@@ -67,8 +68,16 @@ def fragment() -> Column:
     )
 
 
-def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None = None) -> DataFrame:
-    """One blob per tile, whatever its size. Features keep ``order`` inside their layer.
+#: Features of a tile's layer that one group builds at once, and parts that a larger layer is cut into.
+BLOCK, BLOCKS = 65_536, 256
+
+
+def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """One blob per tile, up to the 2 GB of one value. Features keep ``order`` (numeric) inside their layer.
+
+    A layer with more than ``block`` features is cut along ``order`` into `BLOCKS` parts of about equal size. Parts are built by
+    separate groups, and the last step only appends finished parts, so a tile that holds a large share of all features never
+    has its features gathered in one group. Features of equal ``order`` in one layer stay in one part.
 
     ``answered`` (z, x, y) names tiles that were asked for; those without features get a blob
     with empty layers. Whether an answer was cut off is judged where it is fetched.
@@ -76,22 +85,35 @@ def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None =
     key = ["z", "x", "y"]
     rows = features.withColumn("_box", tiles.tile_box("z", "x", "y"))
     layer = F.array_position(F.array(*[F.lit(n) for n in LAYERS]), F.col("layer"))
-    parts = rows.select(*key, layer.alias("l"), F.col(order).alias("o"), fragment().alias("hex"))
-    joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("l", "o", "hex"))).alias("p"))
+    parts = rows.select(*key, layer.alias("l"), F.col(order).alias("o"), F.unhex(fragment()).alias("body"))
+    # Written once: sizes and cuts below read the keys alone.
+    parts = cut_lineage(parts, "tile-fragments")
+    large = parts.groupBy(*key, "l").count().where(F.col("count") > block).select(*key, "l")
+    shares = [k / BLOCKS for k in range(1, BLOCKS)]
+    cuts = parts.join(large, [*key, "l"], "left_semi").groupBy(*key, "l").agg(
+        F.percentile_approx(F.col("o").cast("double"), shares).alias("cuts")
+    )
+    before = F.size(F.filter("cuts", lambda v: v < F.col("o").cast("double")))
+    parts = parts.join(cut_lineage(cuts, "tile-cuts"), [*key, "l"], "left").withColumn("part", F.when(F.col("cuts").isNull(), 0).otherwise(before))
+    built = parts.groupBy(*key, "l", "part").agg(
+        F.count("body").alias("n"), F.expr("listagg(body) WITHIN GROUP (ORDER BY o, body)").alias("bytes")
+    )
+    numbers = range(1, len(LAYERS) + 1)
+    joined = built.groupBy(*key).agg(
+        *[F.sum(F.when(F.col("l") == k, F.col("n"))).alias(f"n{k}") for k in numbers],
+        *[F.expr(f"listagg(bytes) WITHIN GROUP (ORDER BY part) FILTER (WHERE l = {k})").alias(f"b{k}") for k in numbers],
+    )
     if answered is not None:
         wanted = answered.select(*[F.col(n).cast(features.schema[n].dataType).alias(n) for n in key]).distinct()
-        none = joined.select(F.slice("p", 1, 0).alias("none")).schema["none"].dataType
-        joined = joined.join(wanted, key, "full_outer").withColumn("p", F.coalesce("p", F.array().cast(none)))
-
-    def section(no):
-        own = F.filter("p", lambda s: s["l"] == no)
-        return F.concat(varint_hex(F.size(own).cast("bigint")), F.array_join(F.transform(own, lambda s: s["hex"]), ""))
-
+        joined = joined.join(wanted, key, "full_outer")
     head = F.concat(
         _little(F.lit(K.TILE_MAGIC), 4), _byte(F.col("z")), _little("x", 4), _little("y", 4), _little(F.lit(K.TILE_EXTENT), 2)
     )
-    blob = F.unhex(F.concat(head, *[section(i + 1) for i in range(len(LAYERS))]))
-    return joined.select(*key, blob.alias("content"))
+    sections = [
+        part for k in numbers
+        for part in (F.unhex(varint_hex(F.coalesce(f"n{k}", F.lit(0)).cast("bigint"))), F.coalesce(f"b{k}", F.lit(b"")))
+    ]
+    return joined.select(*key, F.concat(F.unhex(head), *sections).alias("content"))
 
 
 #: Bytes of the fixed head, of the longest number, and vertices that an Arrow batch gathers before it is given out.

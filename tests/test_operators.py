@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cartolith.functions import boxes
+from cartolith import constants as K
+from cartolith.functions import boxes, tiles
 from cartolith.operators import corpus, coverage, feed, fieldlog, raster, spatial
 from cartolith.operators.ordered import next_in_block, running_by_block
 from cartolith.operators.quantiles import LEVELS, exact_quantiles, ordered_bits
@@ -340,6 +341,20 @@ def test_scan_of_random_and_broken_tiles(spark, monkeypatch):
         assert [got[name, "building", k]["height_m"] for k in range(len(buildings))] == [h / 10 for _, h in buildings]
 
 
+def test_hot_tile_is_built_in_parts(spark):
+    """A tile with most of all features: parts in order of ``seq`` give the bytes of a plain writer."""
+    span, north = 360.0 / 2**14, spark.range(1).select(tiles.tile_box(F.lit(14), F.lit(8698), F.lit(5915)).alias("b")).first()["b"]["north"]
+    moves = [rnd.randint(0, 4096) for _ in range(900)]
+    seqs = rnd.sample(range(-10**12, 10**12), 900)
+    rows = [(14, 8698, 5915, "road", s, "motorway", [(8698 * span - 180 + d / 4096 * span, north)]) for s, d in zip(seqs, moves)]
+    rows += [(14, 8698 + k % 2, 5916, "building", k, None, [(0.0, 0.0)]) for k in range(6)]
+    df = spark.createDataFrame(rows, "z bigint, x bigint, y bigint, layer string, seq bigint, class string, line array<struct<lon:double,lat:double>>")
+    df = df.repartition(5).withColumn("height_m", F.lit(3.0))
+    whole, cut = ({(r["x"], r["y"]): bytes(r["content"]) for r in feature_tiles.encode(df, block=b).collect()} for b in (65_536, 50))
+    plain = _plain_blob([], [(K.ROAD_CLASSES.index("motorway"), [(d, 0)]) for _, d in sorted(zip(seqs, moves))])
+    assert whole == cut and len(cut) == 3 and cut[8698, 5915] == plain
+
+
 # --- radio logs -----------------------------------------------------------------------------------------
 
 HEAD = "time,from,sender name,sender lat,sender long,rx lat,rx long,rx elevation,rx snr,distance,hop limit,payload,rx rssi"
