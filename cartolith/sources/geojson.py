@@ -1,8 +1,9 @@
 """GeoJSON and JSON sources and sinks.
 
 Features are written one per line, so a survey of any size is written by many tasks and
-read back without one process holding the collection. Collections in one JSON document
-are read with :func:`read_collection`, one document by one task.
+read back without one process holding the collection. A collection in one JSON document is cut
+at its opening braces by the text source, so its blocks are read by many tasks; which braces
+begin a feature follows from running counts of quotes and braces (:func:`feature_texts`).
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.operators.ordered import running_by_block
+from cartolith.session import cut_lineage
+
 POLYGON = (
     "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, "
     "properties struct<tile:string,covered:boolean,status:string,source:string,m_per_px:double,"
@@ -32,14 +36,54 @@ def read_survey(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return features, spark.read.schema(HEADER).json(f"{path}/header")
 
 
+def feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of every element of the ``features`` array of JSON documents, one document per file.
+
+    A piece is the text between two opening braces. Quotes before it tell if it starts inside a string, braces before it how
+    deep it lies; the last key or array opened at the level of the collection tells if an element belongs to ``features``.
+    All three run inside blocks of a file first and over the blocks then, on rows without text. A text may end in what
+    follows its feature, up to the next brace; JSON functions stop at the end of the first value.
+    """
+    rows = spark.read.option("lineSep", "{").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    runs = F.split(bare, '"', -1)
+
+    def closing(start):
+        """Closing braces outside strings, for a piece that starts outside (0) or inside (1) of one."""
+        outside = F.array_join(F.filter(runs, lambda _, i: i % 2 == start), "")
+        return F.length(outside) - F.length(F.translate(outside, "}", ""))
+
+    pieces = cut_lineage(rows.select(
+        "file", "block", "at", "value", (F.size(runs) - 1).alias("quotes"), closing(0).alias("out"), closing(1).alias("in"),
+        bare.rlike(r"[:\[]\s*$").alias("opens"), bare.rlike(r'"features"\s*:\s*\[\s*$').alias("listed"),
+    ), "json-pieces")
+
+    key, by = ["file", "block", "at"], (["file"], "block", "at")
+    thin = running_by_block(pieces.drop("value"), *by, {
+        "quoted": ("sum", F.col("quotes"), True), "earlier": ("sum", F.lit(1), True),
+    })
+    brace = (F.col("earlier") > 0) & (F.col("quoted") % 2 == 0)  # no brace stands before the first piece
+    step = brace.cast("int") - F.when(F.col("quoted") % 2 == 0, F.col("out")).otherwise(F.col("in"))
+    thin = cut_lineage(thin.select(
+        *key, brace.alias("brace"), step.alias("step"), (F.col("opens") & ((F.col("quoted") + F.col("quotes")) % 2 == 0)).alias("opens"), "listed",
+    ), "json-steps")
+    thin = running_by_block(thin, *by, {"depth": ("sum", F.col("step"), True)})
+    opened = F.when(F.col("opens") & (F.col("depth") + F.col("step") == 1), F.struct("block", "at", "listed"))
+    thin = cut_lineage(thin.select(*key, (F.col("brace") & (F.col("depth") == 1)).alias("starts"), opened.alias("opened")), "json-depths")
+    thin = running_by_block(thin, *by, {"no": ("sum", F.col("starts").cast("int"), False), "under": ("max", F.col("opened"), True)})
+    thin = thin.select(*key, "no", (F.col("starts") & F.coalesce(F.col("under.listed"), F.lit(False))).alias("feature"))
+    whole = pieces.select(*key, "value").join(thin.where("no > 0"), key).groupBy("file", "no").agg(
+        F.max("feature").alias("feature"), F.expr("listagg(value, '{') WITHIN GROUP (ORDER BY block, at)").alias("text")
+    )
+    return whole.where("feature").select("file", F.concat(F.lit("{"), "text").alias("text"))
+
+
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Features of FeatureCollection documents, one document per file, with its path."""
-    schema = "type string, features array<struct<" + POLYGON.replace("type string, ", "type:string,", 1).replace(
-        ", properties struct", ",properties:struct"
-    ).replace("geometry struct", "geometry:struct") + ">>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    docs = docs.withColumn("file", F.col("_metadata.file_path"))
-    return docs.select("file", F.explode("features").alias("f")).select("file", "f.*")
+    return feature_texts(spark, path).select("file", F.from_json("text", POLYGON).alias("f")).select("file", "f.*")
 
 
 def survey_stats(features: DataFrame) -> DataFrame:
@@ -52,9 +96,9 @@ def survey_stats(features: DataFrame) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features as a variant column ``f``: of whole documents, or with ``lines`` one per line, read by many tasks."""
-    docs = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("f"))
-    return docs if lines else docs.select(F.explode(F.variant_get("f", "$.features", "array<variant>")).alias("f"))
+    """Features as a variant column ``f``: of whole documents, or with ``lines`` one per line; both are read by many tasks."""
+    texts = spark.read.text(path) if lines else feature_texts(spark, path).select(F.col("text").alias("value"))
+    return texts.select(F.parse_json("value").alias("f"))
 
 
 def read_countries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

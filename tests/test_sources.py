@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.operators import corpus, features, spatial
-from cartolith.sources import feeds, geojson, images, osm_json
+from cartolith.sources import feeds, geojson, images, osm_json, radio_logs
 from cartolith.streaming import feeds as live
 
 
@@ -99,6 +99,57 @@ def test_geojson_readers(spark, tmp_path):
     assert (stats["cells"], stats["gaps"], stats["covered"]) == (2, 2, 0)
 
 
+def _small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("size", [64, 1 << 27])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_document_is_read_in_blocks(spark, tmp_path, size, indent):
+    odd = ['{', '}', '"', "\\", '\\"}{', '"features":[', ', {"a": [', "\\\\", "é{漢", '": [{', ""]
+    features = [
+        {"type": "Feature", "properties": {"NAME": odd[k % len(odd)] + odd[k // 3 % len(odd)], "k": k, odd[k % 7] + "x": [{"in": [{}]}, "}"]},
+         "geometry": {"type": "Polygon", "coordinates": [[[k, 0], [4, 0], [4, 4]]]}} for k in range(60)
+    ]
+    head = {"type": "FeatureCollection", "links": [{"href": "{"}, {"href": '"features":['}], "crs": {"type": "name", "properties": {"features": [{"k": -1}]}}}
+    documents = {
+        "a": {**head, "features": features}, "b": {"features": features[:3], **head}, "c": {"features": []}, "d": head,
+        "e": {"features": [{"features": [{"k": -2}]}, {}]},
+    }
+    for name, document in documents.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(document, indent=indent, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text("")
+    _small_splits(spark, size)
+    try:
+        texts = geojson.feature_texts(spark, str(tmp_path))
+        got = texts.select(F.regexp_extract("file", "([a-z]+).json$", 1).alias("name"), F.to_json(F.parse_json("text")).alias("f")).collect()
+        scanned = spark.read.option("lineSep", "{").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = lambda f: json.dumps(f, sort_keys=True)
+    want = sorted((name, plain(f)) for name, document in documents.items() for f in document.get("features", []))
+    assert sorted((r["name"], plain(json.loads(r["f"]))) for r in got) == want
+    assert size > 64 or scanned > 100
+
+
+def test_log_is_read_in_blocks(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 37) if k % 5 else "" for k in range(400)]
+    (tmp_path / "a.csv").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "b.csv").write_bytes(("\n".join(lines[:50]) + "\n").encode())
+    (tmp_path / "c.csv").write_bytes(b"one\rtwo\rthree")
+    (tmp_path / "d.csv").write_bytes(b"")
+    _small_splits(spark, 100)
+    try:
+        rows = radio_logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in rows:
+        got.setdefault(r["file"][-5], []).append((r["line_no"], r["raw"]))
+    want = {"a": lines, "b": lines[:50], "c": ["one", "two", "three"]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v, 1)) for k, v in want.items()}
+
+
 def test_manifests(spark, tmp_path):
     good = "ab" * 32
     (tmp_path / "c.json").write_text(json.dumps({"zed": {"sha256": good, "size": 3}, "amy": {"sha256": good, "frames": [good]}, "bad": {"sha256": "x"}}))
