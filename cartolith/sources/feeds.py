@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.functions._c import once
+
 EVENT = (
     "id string, pubkey string, kind bigint, created_at double, content string, sig string, "
     "tags array<array<string>>"
@@ -17,15 +19,15 @@ def parse_events(lines: DataFrame, value: str = "value", keep: list[str] | None
     A number, object or list where a text belongs is no text: such a field is null, and so are
     ``tags`` that hold anything but lists of texts.
     """
-    plain = F.from_json(F.col(value), EVENT, {"mode": "PERMISSIVE"})
-    typed = F.try_parse_json(F.col(value))
+    both = F.struct(F.from_json(F.col(value), EVENT, {"mode": "PERMISSIVE"}).alias("plain"), F.try_parse_json(F.col(value)).alias("typed"))
+    rows = lines.select(*(keep or []), once(both).alias("_json"))
+    plain, typed = F.col("_json.plain"), F.col("_json.typed")
     kind = lambda n: F.schema_of_variant(F.try_variant_get(typed, f"$.{n}", "variant"))
-    parsed = plain
-    for name in ("id", "pubkey", "content", "sig"):
-        parsed = parsed.withField(name, F.when(kind(name) == "STRING", plain[name]))
+    fields = {name: F.when(kind(name) == "STRING", plain[name]) for name in ("id", "pubkey", "content", "sig")}
     lists = kind("tags").isin("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>")
-    parsed = F.when(plain.isNotNull(), parsed.withField("tags", F.when(lists, plain["tags"])))
-    return lines.select(*(keep or []), parsed.alias("event"))
+    fields["tags"] = F.when(lists, plain["tags"])
+    parsed = F.struct(*[fields.get(n, plain[n]).alias(n) for n in ("id", "pubkey", "kind", "created_at", "content", "sig", "tags")])
+    return rows.select(*(keep or []), once(F.when(plain.isNotNull(), parsed)).alias("event"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -92,9 +92,10 @@ def gate_batch(allowed: str | None, path: str) -> Callable[[DataFrame, int], Non
     """Sink that splits a line stream into accepted and rejected rows."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        judged = feed.write_gate(batch, allowed)
+        judged = feed.write_gate(batch, allowed).persist()
         write_batch(judged.where("action = 'accept'"), f"{path}/accepted", batch_id)
         write_batch(judged.where("action = 'reject'"), f"{path}/rejected", batch_id)
+        judged.unpersist()
 
     return each
 
@@ -103,7 +104,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class PublishClock(StatefulProcessor):
-    """Gives each request of an address max(now, last time + 1); the state of an address is its last time."""
+    """Gives each request of an address max(now, last time + 1); the state of an address is its last time.
+
+    One call to Python an address; :func:`live_clock` takes the addresses of a group together.
+    """
 
     def __init__(self, now: str):
         self.now = now
@@ -135,19 +139,60 @@ class PublishClock(StatefulProcessor):
         pass
 
 
+#: Addresses are dealt to so many groups; the state of a group is the last time of each of its addresses.
+CLOCK_GROUPS = 1024
+
+
+def _clock(now: str):
+    """Gives each request of an address max(now, last time + 1), for all addresses of a group together."""
+
+    def tick(key, parts, state):
+        last = dict(zip(*state.get)) if state.exists else {}
+        for part in parts:
+            good = part["code"].isna().to_numpy()
+            number, names = pd.factorize(part["_address"].to_numpy()[good])
+            # Requests by address, in their order of arrival, and their places there.
+            order = np.argsort(number, kind="stable")
+            who = number[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            earliest = np.array([last.get(n, -1) + 1 for n in names], "int64")[who]
+            # Times rise by one at least, so each less its place is a running maximum.
+            ahead = np.maximum(part[now].to_numpy()[good].astype("int64")[order] - place, earliest)
+            at = pd.Series(ahead).groupby(who).cummax().to_numpy("int64") + place
+            fits = at <= K.MAX_CREATED_AT
+            last.update(zip(names[who[fits]], at[fits].tolist()))
+            times, codes = np.full(len(part), None, object), part["code"].to_numpy(object, copy=True)
+            rows = np.flatnonzero(good)[order]
+            times[rows] = np.where(fits, at.astype(object), None)
+            codes[rows] = np.where(fits, None, "CREATED_AT_RANGE")
+            kept = {n: part[n].to_numpy() for n in part.columns if n not in ("created_at", "code", "_address", "_group")}
+            yield pd.DataFrame({**kept, "created_at": times, "code": codes})
+        if last:
+            state.update((list(last), list(last.values())))
+
+    return tick
+
+
 def live_clock(requests: DataFrame, keys: list[str], now: str = "now") -> DataFrame:
     """Publish times of a stream of requests, in their order of arrival; run in append mode.
 
     Adds ``created_at`` and ``code`` (a time that is no time, or the clock at its end; such a request gets no time and
-    moves no clock). One number per address stays in the state store, on disk, so the work of a batch goes by its own
-    requests and not by what was published before. The requests of an address pass one task in small parts; how many
-    a batch holds is up to the stream's trigger.
+    moves no clock). Addresses are dealt by hash to ``CLOCK_GROUPS`` groups, and a batch reads and writes the state of the
+    groups that its requests meet, on disk; nothing that was published is read. So the calls to Python do not grow with the
+    number of addresses. The requests of a group pass one task in small parts; how many a batch holds is up to the
+    stream's trigger.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     coded = requests.withColumn("code", grammar.created_at_code(F.col(now)))
     fields = StructType([*requests.schema.fields, StructField("created_at", LongType()), StructField("code", StringType())])
-    coded = coded.select(*requests.columns, F.lit(None).cast("bigint").alias("created_at"), "code")
-    return coded.groupBy(*keys).transformWithStateInPandas(PublishClock(now), fields, "Append", "None")
+    address = F.to_json(F.struct(*keys))
+    coded = coded.select(
+        *requests.columns, F.lit(None).cast("bigint").alias("created_at"), "code", address.alias("_address"),
+        F.pmod(F.xxhash64(address), F.lit(CLOCK_GROUPS)).alias("_group"),
+    )
+    return coded.groupBy("_group").applyInPandasWithState(
+        _clock(now), fields, "addresses array<string>, times array<bigint>", "append", "NoTimeout"
+    )
 
 
 # --- ingest ----------------------------------------------------------------------------------

@@ -16,16 +16,24 @@ from cartolith.streaming import feeds as live
 from cartolith.workloads.q_events import _SERIAL, _tagged
 from cartolith.workloads.registry import query
 
-_FILES, _PER_BATCH = 6, 2
+#: The files arrive in three batches, two files each or more: a file holds at most so many rows of the table behind it.
+_FILES, _BATCHES, _ROWS_PER_FILE = 6, 3, 500_000
+
+
+def _arrivals(table) -> tuple[int, int]:
+    """Number of files and files a batch; the files grow in number and not in size."""
+    files = max(_FILES, -(-table.count() // _ROWS_PER_FILE))
+    return files, -(-files // _BATCHES)
 
 
 def _feed_stream(v):
     """The feed as event lines in files, read as a stream of well-shaped events."""
     path = work_dir(v.spark, "feed")
-    rows = _tagged(v, events.tag("d", F.col("slot").cast("string")))
     line = F.to_json(F.struct("id", "pubkey", "kind", "created_at", "content", "sig", "tags"))
-    rows.select(line.alias("value")).repartition(_FILES).write.text(path)
-    return feeds.event_columns(feeds.stream_events(v.spark, path, _PER_BATCH))
+    files, per_batch = _arrivals(v.events)
+    rows = _tagged(v.spread("events", files), events.tag("d", F.col("slot").cast("string")))
+    rows.select(line.alias("value")).write.text(path)
+    return feeds.event_columns(feeds.stream_events(v.spark, path, per_batch))
 
 
 def _run(v, stream, mode, each=None):
@@ -100,8 +108,9 @@ def _payload_stream(v):
         F.col("attempts").alias("buildings"), F.lit(0).cast("bigint").alias("roads"), F.lit(0).cast("bigint").alias("landuse"),
         F.col("updated_at").alias("at"),
     )
-    rows.repartition(_FILES).write.parquet(path)
-    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _PER_BATCH).parquet(path)
+    files, per_batch = _arrivals(v.lineitem)
+    rows.repartition(files).write.parquet(path)
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 @query("i06_ingest", """
@@ -123,7 +132,8 @@ SELECT region, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER
   count(*) AS total, count(*) FILTER (attempts >= 4) AS exhausted FROM v_items GROUP BY region""", "v_items")
 def _(v):
     path = work_dir(v.spark, "items")
-    v.v_items.select(*corpus.ITEM_KEY, "status", "attempts").repartition(_FILES).write.parquet(path)
-    stream = v.spark.readStream.schema(_ITEM_SCHEMA).option("maxFilesPerTrigger", _PER_BATCH).parquet(path)
+    files, per_batch = _arrivals(v.lineitem)
+    v.v_items.select(*corpus.ITEM_KEY, "status", "attempts").repartition(files).write.parquet(path)
+    stream = v.spark.readStream.schema(_ITEM_SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(path)
     sink = _run(v, live.live_progress(stream), "complete")
     return live.read_latest(v.spark, sink, ["region"])
