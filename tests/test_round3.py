@@ -47,3 +47,11 @@ def test_clock_of_many_addresses_is_the_loop_in_few_groups(spark, tmp_path, monk
     got = {r["id"]: (r["created_at"], r["code"]) for r in out if r["now"] is not None}
     # Rows of one batch arrive in the order of their file.
     assert len(out) == n and got == want
+
+
+def test_nearby_gives_every_match_without_a_page(spark):
+    views = spark.createDataFrame([(1, 10.0, 45.0, 10.5, 45.5)], "view_id bigint, west double, south double, east double, north double")
+    cell = feed.geohash.encode(F.lit(45.2), F.lit(10.2), 4)
+    rows = spark.range(700).select(F.col("id").cast("string").alias("id"), F.lit(K.KIND_COLLECTION).alias("kind"), F.col("id").alias("created_at"), cell.alias("g"))
+    assert feed.nearby(views, rows, "g", kind=None, limit=None)[0].count() == 700
+    assert feed.nearby(views, rows, "g")[0].count() == 0
