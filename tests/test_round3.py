@@ -55,3 +55,19 @@ def test_nearby_gives_every_match_without_a_page(spark):
     rows = spark.range(700).select(F.col("id").cast("string").alias("id"), F.lit(K.KIND_COLLECTION).alias("kind"), F.col("id").alias("created_at"), cell.alias("g"))
     assert feed.nearby(views, rows, "g", kind=None, limit=None)[0].count() == 700
     assert feed.nearby(views, rows, "g")[0].count() == 0
+
+
+def test_announcements_of_columns_past_the_zoom_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    import check
+
+    spark.sql("""SELECT id AS l_orderkey, 8190 + id AS l_partkey, 0L AS l_suppkey, 2 AS l_linenumber, 'A' AS l_returnflag, 3.0D AS l_quantity,
+        10.0D AS l_extendedprice, timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate FROM range(4)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["d10_announce_done"]).df()
+    got = entry.queries()["d10_announce_done"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 4 and got["d"].isna().sum() == 2
+    assert check.normal(got) == check.normal(want)
