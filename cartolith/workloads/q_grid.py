@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from cartolith import constants as K
 from cartolith.functions import boxes, geohash, numbers, tiles
-from cartolith.operators import generate, spatial
+from cartolith.operators import generate, overlaps, spatial
 from cartolith.workloads import duck
 from cartolith.workloads.registry import query
 from cartolith.workloads.views import tile_x, tile_y
@@ -424,13 +424,8 @@ SELECT a.id AS id_a, count(*) AS n, min(b.id) AS first_id FROM v_boxes a JOIN v_
 ON a.id < b.id AND a.west < b.east AND a.east > b.west AND a.south < b.north AND a.north > b.south GROUP BY a.id""", "v_boxes")
 def _(v):
     """Later footprints that overlap each stored footprint: both sides large, many sizes; pairs are only counted."""
-    a = v.v_boxes.select(F.col("id").alias("id_a"), *[F.col(n).alias(f"a_{n}") for n in BOX])
-    b = v.v_boxes.select(F.col("id").alias("id_b"), *[F.col(n).alias(f"b_{n}") for n in BOX])
-    pairs = spatial.box_join(
-        a, b, tuple(f"a_{n}" for n in BOX), tuple(f"b_{n}" for n in BOX), condition=F.col("id_a") < F.col("id_b"),
-        hint="merge",
-    )
-    return pairs.groupBy("id_a").agg(F.count(F.lit(1)).alias("n"), F.min("id_b").alias("first_id"))
+    counted = overlaps.later_overlaps(v.v_boxes, "id", BOX)
+    return counted.select(F.col("id").alias("id_a"), "n", F.col("first").alias("first_id"))
 
 
 @query("g03_newest_per_view", f"""
