@@ -159,6 +159,11 @@ def bind_upload(uploads: DataFrame) -> DataFrame:
     })
 
 
+def crawl_owner() -> Column:
+    """Owner of the blobs that a crawl of a region and kind stores."""
+    return F.concat_ws(":", F.lit("crawler"), "region", "kind")
+
+
 def ingest_records(payloads: DataFrame, now) -> DataFrame:
     """Index rows of crawled payloads: owner, media type and footprint from the tile."""
     media = None
@@ -168,7 +173,7 @@ def ingest_records(payloads: DataFrame, now) -> DataFrame:
     box = tiles.tile_box("z", "x", "y")
     return payloads.select(
         "sha256", "size", media.alias("media_type"),
-        F.concat_ws(":", F.lit("crawler"), "region", "kind").alias("owner"), c(now).alias("uploaded_at"),
+        crawl_owner().alias("owner"), c(now).alias("uploaded_at"),
         *[box[n].alias(n) for n in boxes.EDGES],
         F.col("z").alias("tile_z"), F.col("x").alias("tile_x"), F.col("y").alias("tile_y"),
     ).withColumn("geohash", boxes.centre_hash(*boxes.EDGES))

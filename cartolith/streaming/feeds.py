@@ -225,21 +225,37 @@ def new_contents(payloads: DataFrame, cap: int = K.ELEMENT_CAP) -> DataFrame:
     return good.select("sha256", F.col("content").cast("binary").alias("content")).dropDuplicates(["sha256"])
 
 
+#: Item keys as a sort meets them: the first column tells most rows apart (a sort on region or kind first compares whole rows).
+_SORTED_KEY = ["y", "x", "z", "kind", "region"]
+
+
+def index_batch(good: DataFrame) -> DataFrame:
+    """Newest index row per content of a batch; media type, footprint and geohash are worked out for the chosen rows only."""
+    order = [F.col("at"), corpus.crawl_owner(), F.col("x"), F.col("y")]
+    chosen = corpus.latest(good.select("sha256", "size", *corpus.ITEM_KEY, "at"), ["sha256"], order)
+    return corpus.ingest_records(chosen, F.col("at"))
+
+
+def outcome_batch(rows: DataFrame) -> DataFrame:
+    """Newest outcome per item of a batch."""
+    done = F.col("r_error").isNull()
+    outcome = rows.select(
+        *corpus.ITEM_KEY, "r_error", F.when(done, F.col("sha256")).alias("r_sha256"), F.when(done, F.col("size")).alias("r_bytes"),
+        *[F.col(n).alias(f"r_{n}") for n in ("buildings", "roads", "landuse")], F.col("at").alias("r_at"),
+    )
+    return corpus.latest(outcome, _SORTED_KEY, [F.col("r_at")])
+
+
 def record_batch(path: str, cap: int = K.ELEMENT_CAP) -> Callable[[DataFrame, int], None]:
-    """Sink for the index rows and the outcomes of a batch of payloads; contents are hashed where they are read and stay there."""
+    """Sink for the index rows and the outcomes of a batch of payloads; contents are hashed where they are read and stay there.
+
+    Each of the two writes reads and hashes the batch; for small contents that costs less than keeping its rows in between.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = judged_payloads(batch, cap).drop("content").persist()
-        records = corpus.ingest_records(rows.where(F.col("r_error").isNull()), F.col("at"))
-        order = [F.col("uploaded_at"), F.col("owner"), F.col("tile_x"), F.col("tile_y")]
-        write_batch(corpus.latest(records, ["sha256"], order), f"{path}/index", batch_id)
-        done = F.col("r_error").isNull()
-        outcome = rows.select(
-            *corpus.ITEM_KEY, "r_error", F.when(done, F.col("sha256")).alias("r_sha256"), F.when(done, F.col("size")).alias("r_bytes"),
-            *[F.col(n).alias(f"r_{n}") for n in ("buildings", "roads", "landuse")], F.col("at").alias("r_at"),
-        )
-        write_batch(corpus.latest(outcome, corpus.ITEM_KEY, [F.col("r_at")]), f"{path}/results", batch_id)
-        rows.unpersist()
+        rows = judged_payloads(batch, cap).drop("content")
+        write_batch(index_batch(rows.where(F.col("r_error").isNull())), f"{path}/index", batch_id)
+        write_batch(outcome_batch(rows), f"{path}/results", batch_id)
 
     return each
 

@@ -109,7 +109,8 @@ def _payload_stream(v):
         F.col("updated_at").alias("at"),
     )
     files, per_batch = _arrivals(v.lineitem)
-    rows.repartition(files).write.parquet(path)
+    # Dealt by key: rows dealt in turn would be sorted first.
+    rows.repartition(files, "x", "y").write.parquet(path)
     return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
