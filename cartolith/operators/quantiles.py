@@ -42,7 +42,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
     v = F.col(value).cast("double")
     finite = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit(f"{value} is not finite"))).otherwise(v)
     counts = df.where(F.col(value).isNotNull()).select(*keys, finite.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    inside = counts.withColumns({"_k": ordered_bits(F.col("_v")), "_in": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    # The bits are never null here, and said so: else a test for nulls with all their steps goes down to every input row.
+    bits = F.coalesce(ordered_bits(F.col("_v")), F.lit(0).cast("bigint"))
+    inside = counts.withColumns({"_k": bits, "_in": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
     sized: list[str] = []
     for low in LEVELS:
         group = [*keys, "_in", "_before", *sized]

@@ -107,7 +107,8 @@ SELECT n.source, array_to_string(list_filter([CASE WHEN nodata > 0.05 THEN 'noda
   CASE WHEN linear > 0.05 THEN 'linear' END, CASE WHEN off < 1 THEN 'surface' END], lambda x: x IS NOT NULL), '; ') AS failures
 FROM n JOIN s ON s.source = n.source JOIN det ON det.source = n.source JOIN lin ON lin.source = n.source JOIN o ON o.source = n.source""", _G)
 def _(v):
-    """Every gate on every grid, with its surface twin."""
+    """Every gate on every grid, with its surface twin; a compact file of grids is dealt to all tasks."""
+    v = v.spread("embeddings", 4 * v.spark.sparkContext.defaultParallelism)
     candidates = v.embeddings.select(
         F.col("vec_id").alias("source"), (F.lit(20.0) + F.col("label")).alias("min_relief_m"), F.lit(1.0).alias("native_resolution_m")
     )

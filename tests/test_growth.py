@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from cartolith.operators import corpus
+from cartolith.operators.quantiles import exact_quantiles
 from cartolith.streaming import feeds as live
 
 
@@ -33,3 +34,11 @@ def test_index_rows_are_worked_out_for_the_chosen_payloads_only(spark):
     assert plan.index("geohash") < plan.index("Aggregate") and "geohash" not in plan[plan.index("Aggregate"):]
     sorts = [line for line in _plan(live.outcome_batch(judged), "executedPlan").splitlines() if " Sort [" in line]
     assert sorts and all("Sort [y#" in line for line in sorts)
+
+
+def test_quantiles_cut_bits_of_counted_values_only(spark):
+    frame = spark.createDataFrame([(k, float(x)) for k in range(3) for x in (-2, 0, 0, 1, 5)], "k int, x double").repartition(2)
+    out = exact_quantiles(frame, ["k"], "x", {"m": 0.5, "q": 0.9})
+    filters = [line for line in _plan(out).splitlines() if "Filter" in line]
+    assert filters and not any("LOG2" in line.upper() for line in filters)
+    assert [tuple(r) for r in out.orderBy("k").collect()] == [(k, 0.0, 3.4000000000000004) for k in range(3)]
