@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import corpus
 from cartolith.operators.quantiles import exact_quantiles
 from cartolith.streaming import feeds as live
+from cartolith.workloads import views
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -42,3 +43,13 @@ def test_quantiles_cut_bits_of_counted_values_only(spark):
     filters = [line for line in _plan(out).splitlines() if "Filter" in line]
     assert filters and not any("LOG2" in line.upper() for line in filters)
     assert [tuple(r) for r in out.orderBy("k").collect()] == [(k, 0.0, 3.4000000000000004) for k in range(3)]
+
+
+def test_items_are_grouped_in_tasks_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    v = views.Inputs(spark, "/root/testdata/sf0.001")
+    n = v.lineitem.count()
+    parts = v.parts("lineitem")
+    assert parts == -(-n // 500) > 10
+    plan = _plan(v.v_items, "executedPlan")
+    assert plan.count("Exchange") == 1 and f", {parts})" in plan
