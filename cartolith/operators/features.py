@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cartolith import constants as K
 from cartolith.functions import osm, tiles
-from cartolith.functions._c import c
+from cartolith.functions._c import c, let
 
 SNAP_M = 1e-6
 
@@ -146,11 +146,14 @@ def grid_steps(line, box) -> Column:
     ``box`` should be a column of its own, so it is worked out once per feature.
     """
     q = F.transform(c(line), lambda p: tiles.quantise(p["lon"], p["lat"], box))
-    corner = F.struct(F.lit(0).cast("bigint").alias("qx"), F.lit(0).cast("bigint").alias("qy"))
-    before = _rest(F.concat(F.array(corner), q), 1)
-    return F.zip_with(
-        q, before, lambda p, o: F.struct((p["qx"] - o["qx"]).alias("dx"), (p["qy"] - o["qy"]).alias("dy"))
-    )
+
+    def steps(q):
+        def move(p, i, name):
+            return p[name] - F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(q, i - 1)[name])
+
+        return F.transform(q, lambda p, i: F.struct(move(p, i, "qx").alias("dx"), move(p, i, "qy").alias("dy")))
+
+    return let(q, steps)
 
 
 def signed_area(ring) -> Column:

@@ -5,8 +5,8 @@ feature is a vertex count, a class byte (roads and areas), zigzag varint steps o
 4096 grid and, for buildings, the height in decimetres.
 
 Encoding is native: each feature becomes a binary fragment on its own row, fragments are appended by
-(tile, layer, part of the order), and parts by tile. Decoding runs on Arrow batches of blobs: counts are
-walked one by one, steps are decoded as arrays.
+(tile, layer, part of the order), and parts by tile. Decoding runs on Arrow batches in two steps: a walk over the
+counts of a blob cuts it into sections of features, and the sections are dealt to tasks that decode the steps as arrays.
 """
 
 from __future__ import annotations
@@ -37,15 +37,18 @@ def _byte(value: Column) -> Column:
 
 
 def varint_hex(value) -> Column:
-    """Base-128 bytes of an unsigned value below 2^32, low bits first, as hex."""
+    """Base-128 bytes of an unsigned value below 2^32, low bits first, as hex.
+
+    All bytes go through one number; the first of several bytes is at least 128, so its digits need no padding.
+    """
     v = c(value)
-    out = []
-    for i in range(5):
-        low = F.shiftright(v, 7 * i).bitwiseAND(127)
-        more = F.when(v >= 2 ** (7 * (i + 1)), 128).otherwise(0)
-        byte = _byte(low + more)
-        out.append(byte if i == 0 else F.when(v >= 2 ** (7 * i), byte).otherwise(""))
-    return F.concat(*out)
+    out = F.when(v < 2**7, _byte(v))
+    for n in range(2, 6):
+        bits = F.shiftright(v, 7 * (n - 1)).bitwiseAND(127)
+        for i in range(n - 1):
+            bits = bits + F.shiftleft(F.shiftright(v, 7 * i).bitwiseAND(127) + 128, 8 * (n - 1 - i))
+        out = out.when(v < 2 ** (7 * n), F.hex(bits)) if n < 5 else out.otherwise(F.hex(bits))
+    return out
 
 
 def _little(value, n_bytes: int) -> Column:
@@ -68,16 +71,16 @@ def fragment() -> Column:
     )
 
 
-#: Features of a tile's layer that one group builds at once, and parts that a larger layer is cut into.
-BLOCK, BLOCKS = 65_536, 256
+#: Features that one task appends at once, about.
+BLOCK = 65_536
 
 
 def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """One blob per tile, up to the 2 GB of one value. Features keep ``order`` (numeric) inside their layer.
+    """One blob per tile, up to the 2 GB of one value. Features keep ``order`` inside their layer.
 
-    A layer with more than ``block`` features is cut along ``order`` into `BLOCKS` parts of about equal size. Parts are built by
-    separate groups, and the last step only appends finished parts, so a tile that holds a large share of all features never
-    has its features gathered in one group. Features of equal ``order`` in one layer stay in one part.
+    Features are dealt along tile, layer and ``order`` to tasks of about ``block`` each, and what one task has of a layer is a
+    part. Parts are built by separate groups, and the last step only appends finished parts, so a tile that holds a large
+    share of all features never has its features gathered in one group. Features of equal ``order`` in one layer stay in one part.
 
     ``answered`` (z, x, y) names tiles that were asked for; those without features get a blob
     with empty layers. Whether an answer was cut off is judged where it is fetched.
@@ -86,15 +89,11 @@ def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None =
     rows = features.withColumn("_box", tiles.tile_box("z", "x", "y"))
     layer = F.array_position(F.array(*[F.lit(n) for n in LAYERS]), F.col("layer"))
     parts = rows.select(*key, layer.alias("l"), F.col(order).alias("o"), F.unhex(fragment()).alias("body"))
-    # Written once: sizes and cuts below read the keys alone.
+    # Written once: the cuts along the order are sampled from it.
     parts = cut_lineage(parts, "tile-fragments")
-    large = parts.groupBy(*key, "l").count().where(F.col("count") > block).select(*key, "l")
-    shares = [k / BLOCKS for k in range(1, BLOCKS)]
-    cuts = parts.join(large, [*key, "l"], "left_semi").groupBy(*key, "l").agg(
-        F.percentile_approx(F.col("o").cast("double"), shares).alias("cuts")
-    )
-    before = F.size(F.filter("cuts", lambda v: v < F.col("o").cast("double")))
-    parts = parts.join(cut_lineage(cuts, "tile-cuts"), [*key, "l"], "left").withColumn("part", F.when(F.col("cuts").isNull(), 0).otherwise(before))
+    tasks = max(parts.sparkSession.sparkContext.defaultParallelism, -(-parts.count() // block))
+    # Partitions of a given number are not merged or split later, so their numbers follow the order.
+    parts = parts.repartitionByRange(tasks, *key, "l", "o").withColumn("part", F.spark_partition_id())
     built = parts.groupBy(*key, "l", "part").agg(
         F.count("body").alias("n"), F.expr("listagg(body) WITHIN GROUP (ORDER BY o, body)").alias("bytes")
     )
@@ -116,75 +115,70 @@ def encode(features: DataFrame, order: str = "seq", answered: DataFrame | None =
     return joined.select(*key, F.concat(F.unhex(head), *sections).alias("content"))
 
 
-#: Bytes of the fixed head, of the longest number, and vertices that an Arrow batch gathers before it is given out.
-_HEAD, _LONGEST, _BATCH_VERTICES = 15, 6, 1 << 17
+#: Bytes of the fixed head, of the longest number, of a section about, and of sections decoded at once.
+_HEAD, _LONGEST, _SECTION, _AT_ONCE = 15, 6, 1 << 17, 1 << 19
 _CLASSED = {"road": (K.ROAD_CLASSES, "residential"), "landuse": (K.LANDUSE_CLASSES, "grass")}
 
 
-class _Blob:
-    """Features of one blob: a walk over counts and class bytes only, then all steps decoded as arrays.
+class _Walk:
+    """A walk over features that reads counts, class bytes and heights only.
 
     A number ends at the next byte below 128, so the ends of all numbers are known beforehand and the walk jumps over
     the steps of a feature.
     """
 
-    def __init__(self, data: bytes) -> None:
-        if len(data) < _HEAD:
-            raise ValueError("truncated")
-        magic, self.z, self.x, self.y, extent = struct.unpack_from("<IBIIH", data)
-        if magic != K.TILE_MAGIC:
-            raise ValueError("not a feature tile")
-        if extent != K.TILE_EXTENT:
-            raise ValueError("unsupported extent")
-        self.data, self.bytes = data, np.frombuffer(data, np.uint8)
+    def __init__(self, data) -> None:
+        self.data, self.bytes, self.at, self.k = data, np.frombuffer(data, np.uint8), 0, 0
         self.ends = np.flatnonzero(self.bytes < 128)
-        self.at, self.k = _HEAD, int(np.searchsorted(self.ends, _HEAD))
-        self.layer, self.seq, self.kind, self.height, self.vertices = [], [], [], [], []
-        first, place = [], []
-        for layer in LAYERS:
-            for seq in range(self._number()):
-                n, kind, height = self._number(), None, None
-                if layer in _CLASSED:
-                    known, default = _CLASSED[layer]
-                    index = self._class_byte()
-                    kind = known[index] if index < len(known) else default
-                first.append(self.k)
-                place.append(self.at)
-                self._skip(2 * n)
-                if layer == "building":
-                    height = self._number()
-                for column, value in ((self.layer, layer), (self.seq, seq), (self.kind, kind), (self.height, height), (self.vertices, n)):
-                    column.append(value)
-        self.steps = self._steps(np.array(first, np.int64), np.array(place, np.int64), np.array(self.vertices, np.int64))
-
-    def _number(self) -> int:
-        self._skip(1)
-        value = 0
-        for byte in reversed(self.data[self._from : self.at]):
-            value = value << 7 | byte & 127
+        self.end = memoryview(self.ends)
+        # Numbers that end too far behind the one before, and the end of the data: the walk checks before it passes the first of them.
+        self.far = [*np.flatnonzero(np.diff(self.ends, prepend=-1) > _LONGEST).tolist(), len(self.ends)]
+        self.limit = self.far[0]
+
+    def number(self) -> int:
+        if self.k >= self.limit:
+            self._check(self.k + 1)
+        start, last = self.at, self.end[self.k]
+        self.k += 1
+        self.at = last + 1
+        value = self.data[last]
+        while last > start:
+            last -= 1
+            value = value << 7 | self.data[last] & 127
         return value
 
-    def _class_byte(self) -> int:
-        if self.at >= len(self.data):
-            raise ValueError("truncated")
-        value = self.data[self.at]
-        self.at += 1
-        self.k += value < 128
-        return value
-
-    def _skip(self, n: int) -> None:
-        """Move behind ``n`` numbers."""
-        self._from, last = self.at, min(self.k + n, len(self.ends))
-        ends = self.ends[self.k : last]
-        if n and len(ends) and (ends[0] - self.at >= _LONGEST or (len(ends) > 1 and int(np.diff(ends).max()) > _LONGEST)):
-            raise ValueError("varint overflow")
-        if len(ends) < n:
-            rest = int(ends[-1]) + 1 if len(ends) else self.at
-            raise ValueError("varint overflow" if len(self.data) - rest >= _LONGEST else "truncated")
+    def feature(self, layer: str) -> tuple[int, int | None, int | None, int, int]:
+        """Vertices, class byte, height, number and place of the first step of the feature that the walk passes."""
+        n, kind, height = self.number(), None, None
+        if layer in _CLASSED:
+            if self.at >= len(self.data):
+                raise ValueError("truncated")
+            kind = self.data[self.at]
+            self.at += 1
+            self.k += kind < 128
+        first, place = self.k, self.at
         if n:
-            self.k, self.at = last, int(ends[-1]) + 1
+            last = first + 2 * n
+            if last > self.limit:
+                self._check(last)
+            self.k, self.at = last, self.end[last - 1] + 1
+        if layer == "building":
+            height = self.number()
+        return n, kind, height, first, place
+
+    def _check(self, last: int) -> None:
+        """Whether the numbers before ``last`` can be passed."""
+        while len(self.far) > 1 and self.far[0] < last:
+            # A class byte of 128 or more lies between the first number and the one before.
+            if self.far[0] > self.k or self.end[self.k] - self.at >= _LONGEST:
+                raise ValueError("varint overflow")
+            del self.far[0]
+        self.limit = self.far[0]
+        if last > len(self.end):
+            rest = self.end[-1] + 1 if len(self.end) > self.k else self.at
+            raise ValueError("varint overflow" if len(self.data) - rest >= _LONGEST else "truncated")
 
-    def _steps(self, first: np.ndarray, place: np.ndarray, vertices: np.ndarray) -> np.ndarray:
+    def steps(self, first: np.ndarray, place: np.ndarray, vertices: np.ndarray) -> np.ndarray:
         """(x, y) of every vertex, features one after another."""
         count, total = 2 * vertices, int(2 * vertices.sum())
         if not total:
@@ -205,61 +199,112 @@ class _Blob:
         return moves - np.repeat(before, vertices, axis=0)
 
 
+_SECTION_DDL = "z bigint, x bigint, y bigint, layer string, seq bigint, _n bigint, _body binary, error string"
 _RAW_DDL = (
     "z bigint, x bigint, y bigint, layer string, seq bigint, class string, height_dm bigint, "
     "steps array<struct<qx:bigint,qy:bigint>>, error string"
 )
 
 
-def _lists(blobs: list[_Blob]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([n for b in blobs for n in b.vertices]))).astype(np.int32)
-    xy = np.concatenate([b.steps for b in blobs] or [np.zeros((0, 2), np.int64)])
-    pairs = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["qx", "qy"])
-    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
-
-
-def _given_out(batch: pa.RecordBatch, good: list[tuple[int, _Blob]], bad: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    names = ["z", "x", "y", "layer", "seq", "class", "height_dm", "steps", "error"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), None, pa.string()]
-    blobs = [b for _, b in good]
-    tile = [[getattr(b, n) for b in blobs for _ in b.vertices] for n in ("z", "x", "y")]
-    own = [[v for b in blobs for v in getattr(b, n)] for n in ("layer", "seq", "kind", "height")]
-    n, m = len(tile[0]), len(bad)
-    values = [pa.array(column + [None] * m, kind) for column, kind in zip(tile + own, types)]
-    steps = _lists(blobs)
-    values.append(pa.concat_arrays([steps, pa.nulls(m, steps.type)]))
-    values.append(pa.array([None] * n + [error for _, error in bad], pa.string()))
-    source = pa.array([k for k, b in good for _ in b.vertices] + [k for k, _ in bad], pa.int64())
-    kept = [batch.column(k).take(source) for k in range(1, batch.num_columns)]
-    yield pa.RecordBatch.from_arrays(values + kept, names + batch.schema.names[1:])
-
-
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of the first column's blobs; the other columns go with each feature and each error."""
+def _sections(data: bytes) -> list[tuple]:
+    """A blob's sections: tile, layer, number of the first feature, features and their bytes. Reads the whole blob first."""
+    if len(data) < _HEAD:
+        raise ValueError("truncated")
+    magic, z, x, y, extent = struct.unpack_from("<IBIIH", data)
+    if magic != K.TILE_MAGIC:
+        raise ValueError("not a feature tile")
+    if extent != K.TILE_EXTENT:
+        raise ValueError("unsupported extent")
+    walk, out = _Walk(data[_HEAD:]), []
+    for layer in LAYERS:
+        seq, count = 0, walk.number()
+        while seq < count:
+            first, start = seq, walk.at
+            while seq < count and walk.at - start < _SECTION:
+                walk.feature(layer)
+                seq += 1
+            out.append((z, x, y, layer, first, seq - first, walk.data[start : walk.at]))
+    return out
+
+
+def _given_out(columns: list[pa.Array], names: list[str], batch: pa.RecordBatch, source, skip: int) -> pa.RecordBatch:
+    """``columns``, and the columns of ``batch`` behind the first ``skip`` for the rows in ``source``."""
+    source = pa.array(source, pa.int64())
+    kept = [batch.column(k).take(source) for k in range(skip, batch.num_columns)]
+    return pa.RecordBatch.from_arrays(columns + kept, names + batch.schema.names[skip:])
+
+
+def _section_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sections of the first column's blobs; the other columns go with each section and each error."""
+    names = ["z", "x", "y", "layer", "seq", "_n", "_body", "error"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     for batch in batches:
-        good, bad, held = [], [], 0
+        rows, source, held = [], [], 0
         for k, data in enumerate(batch.column(0)):
             try:
-                good.append((k, _Blob(data.as_py() or b"")))
-                held += len(good[-1][1].steps) + len(good[-1][1].vertices)
+                found = [(*s, None) for s in _sections(data.as_py() or b"")]
             except ValueError as error:
-                bad.append((k, str(error)))
-            if held >= _BATCH_VERTICES:
-                yield from _given_out(batch, good, bad)
-                good, bad, held = [], [], 0
-        if good or bad:
-            yield from _given_out(batch, good, bad)
+                found = [(*[None] * 5, 0, b"", str(error))]
+            rows += found
+            source += [k] * len(found)
+            held += sum(len(s[6]) for s in found)
+            if held >= _AT_ONCE or k == batch.num_rows - 1:
+                columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
+                yield _given_out(columns, names, batch, source, 1)
+                rows, source, held = [], [], 0
+
+
+def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Features of some sections, and their errors behind them."""
+    layers, firsts, counts, bodies, errors = (batch.column(n).to_pylist() for n in ("layer", "seq", "_n", "_body", "error"))
+    walk, found, kinds = _Walk(b"".join(bodies)), [], []
+    for layer, count in zip(layers, counts):
+        own = [walk.feature(layer) for _ in range(count)]
+        found += own
+        if layer in _CLASSED:
+            known, default = _CLASSED[layer]
+            kinds += [known[f[1]] if f[1] < len(known) else default for f in own]
+        else:
+            kinds += [None] * count
+    vertices, _, heights, first, place = zip(*found) if found else ((),) * 5
+    vertices = np.array(vertices, np.int64)
+    bad = [k for k, error in enumerate(errors) if error is not None]
+    source = np.concatenate((np.repeat(np.arange(batch.num_rows), counts), np.array(bad, np.int64)))
+    seq = [s for start, count in zip(firsts, counts) if count for s in range(start, start + count)]
+    xy = walk.steps(np.array(first, np.int64), np.array(place, np.int64), vertices)
+    pairs = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["qx", "qy"])
+    steps = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(vertices))).astype(np.int32)), pairs)
+    none = [None] * len(bad)
+    taken = {n: batch.column(n).take(pa.array(source)) for n in ("z", "x", "y", "layer", "error")}
+    columns = [
+        taken["z"], taken["x"], taken["y"], taken["layer"], pa.array(seq + none, pa.int64()), pa.array(kinds + none, pa.string()),
+        pa.array([*heights, *none], pa.int64()), pa.concat_arrays([steps, pa.nulls(len(bad), steps.type)]), taken["error"],
+    ]
+    return _given_out(columns, ["z", "x", "y", "layer", "seq", "class", "height_dm", "steps", "error"], batch, source, 8)
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the sections, some sections at a time."""
+    for batch in batches:
+        begin, held = 0, 0
+        for k, body in enumerate(batch.column("_body")):
+            held += len(body.as_buffer())
+            if held >= _AT_ONCE or k == batch.num_rows - 1:
+                yield _features(batch.slice(begin, k + 1 - begin))
+                begin, held = k + 1, 0
 
 
 def decode(blobs: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """Feature rows of many blobs; a blob that cannot be read is a row with ``error``.
 
     ``keep`` names columns of ``blobs`` that every row carries, an error's too, so a bad blob is known by its key; they
-    must not be called like a column of a feature. A null blob counts as an empty one and is ``truncated``. Python only
-    finds the grid positions; they become coordinates in the JVM.
+    must not be called like a column of a feature. A null blob counts as an empty one and is ``truncated``. Blobs are cut
+    into sections of about 128 KB, which are dealt to all tasks, so a large blob is not decoded by one of them. Python
+    only finds the grid positions; they become coordinates in the JVM.
     """
     kept = "".join(f", `{n}` {blobs.schema[n].dataType.simpleString()}" for n in keep)
-    raw = blobs.select(content, *keep).mapInArrow(_scan_batches, _RAW_DDL + kept)
+    sections = blobs.select(content, *keep).mapInArrow(_section_batches, _SECTION_DDL + kept)
+    raw = sections.hint("rebalance").mapInArrow(_feature_batches, _RAW_DDL + kept)
     raw = raw.withColumn("_box", tiles.tile_box("z", "x", "y"))
     line = F.transform("steps", lambda s: tiles.restore(s["qx"], s["qy"], F.col("_box")))
     return raw.select(
